@@ -1,0 +1 @@
+"""No streaming operators: every result is a finite batch recomputed per parameter set."""
