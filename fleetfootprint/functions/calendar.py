@@ -25,7 +25,7 @@ def date_to_edition(date: Column) -> Column:
 def edition_to_date(edition: Column) -> Column:
     """YYYY.0 -> 1 January, YYYY.5 -> 1 June."""
     year = F.floor(edition)
-    return F.make_date(year.cast("int"), F.round((edition - year) * 10).cast("int") + 1, F.lit(1))
+    return F.make_date(year.cast("int"), F.floor((edition - year) * 10 + 1.5).cast("int"), F.lit(1))
 
 
 def month_start(date: Column) -> Column:

@@ -170,10 +170,13 @@ def impact_series(entities: DataFrame, params: ImpactParams, by: list[str] | Non
     )
 
 
-def churn(expanded: DataFrame) -> DataFrame:
-    """Added, removed and active systems per semester, from expanded rows."""
-    return expanded.groupBy("semester").agg(
+def churn(expanded: DataFrame, span: tuple[float, float]) -> DataFrame:
+    """Added, removed and active systems of every semester of the span, from expanded rows."""
+    counts = expanded.groupBy("semester").agg(
         F.count_if("added").alias("systems_added"),
         F.count_if("removed").alias("systems_removed"),
         F.count_if("active").alias("active_systems"),
     )
+    columns = ("systems_added", "systems_removed", "active_systems")
+    grid = semester_grid(expanded.sparkSession, span)
+    return grid.join(counts, "semester", "left").na.fill(0, list(columns))

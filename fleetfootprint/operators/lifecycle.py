@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfootprint.operators.skew import MIN_HOT_ROWS, join_per_key
+from fleetfootprint.session import settle
 
 
 def top_per_edition(rows: DataFrame, groups: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -14,8 +15,6 @@ def top_per_edition(rows: DataFrame, groups: list[str], order: list[Column], n:
     Written as a row number below a constant, which Spark turns into a per-task limit before the
     shuffle, so an edition that holds most of the table still sends at most n rows per task.
     """
-    from pyspark.sql import Window
-
     numbered = rows.withColumn(rank, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
     return numbered.filter(F.col(rank) <= n)
 
@@ -43,12 +42,17 @@ def with_presence(rows: DataFrame, key: str, edition: str, min_rows: int = MIN_H
 
 
 def rank_thresholds(ranked: DataFrame, rank: str, n: int, edition: str, metric: str) -> DataFrame:
-    """Metric of the n-th system of each edition, keyed by the edition before it: one row per edition."""
-    return (
+    """Metric of the n-th system of each edition, keyed by the edition before it: one row per edition.
+
+    Written out, so that the join with it knows it is small and leaves the systems where they are: few
+    editions would make a very uneven shuffle key.
+    """
+    thresholds = (
         ranked.filter(F.col(rank) == n)
         .groupBy((F.col(edition) - 0.5).alias("final_edition"))
         .agg(F.max(metric).alias("threshold"))
     )
+    return settle(thresholds, "thresholds")
 
 
 def exit_label(metric: Column, threshold: Column) -> Column:

@@ -14,6 +14,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a skewed join key is split even where the rows are grouped by it afterwards
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # call-site capture costs more than building these plans
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -22,7 +24,8 @@ SESSION_CONF = {
 def tune(spark: SparkSession) -> None:
     """Apply the runtime settings to a session built elsewhere."""
     for key, value in SESSION_CONF.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
 
 
 def get_session(master: str | None = None, app: str = "fleetfootprint", **conf: str) -> SparkSession:
