@@ -60,20 +60,26 @@ def with_derived(rows: DataFrame, listing: str) -> DataFrame:
     )
 
 
-def _read_era(spark: SparkSession, paths: list[str], era: Era, fixed: dict, fmt: str) -> DataFrame:
-    """All editions of one era in one scan, mapped to the common column names."""
+def _by_header(spark: SparkSession, paths: list[str], fmt: str) -> list[DataFrame]:
+    """One scan per distinct header: files of an era may still order or add columns differently."""
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    raw = reader.format(fmt).load(paths)
-    parts = F.regexp_extract(F.col("_metadata.file_name"), FILE_EDITION, 1), F.regexp_extract(
-        F.col("_metadata.file_name"), FILE_EDITION, 2
-    )
-    columns = [edition_label(*parts).alias("rank_year")]
-    for target, (source, kind) in fixed.items():
-        found = [c for c in raw.columns if c.lower() == source.lower()]
-        value = F.col(f"`{found[0]}`") if found else F.lit(None)
-        columns.append(value.try_cast(kind).alias(target))
-    for target, (source, factor) in era.columns.items():
-        columns.append((F.col(f"`{source}`").try_cast("double") * factor).alias(target))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        groups.setdefault(tuple(reader.format(fmt).load(path).columns), []).append(path)
+    return [reader.format(fmt).load(same) for same in groups.values()]
+
+
+def _mapped(raw: DataFrame, era: Era, fixed: dict[str, tuple[str, str]]) -> DataFrame:
+    """Common column names; a header is found whatever its case, a missing one gives NULL."""
+    by_name = {c.lower(): c for c in raw.columns}
+
+    def source(header: str) -> Column:
+        return F.col(f"`{by_name[header.lower()]}`") if header.lower() in by_name else F.lit(None)
+
+    year, month = (F.regexp_extract(F.col("_metadata.file_name"), FILE_EDITION, i) for i in (1, 2))
+    columns = [edition_label(year, month).alias("rank_year")]
+    columns += [source(header).try_cast(kind).alias(target) for target, (header, kind) in fixed.items()]
+    columns += [(source(h).try_cast("double") * factor).alias(target) for target, (h, factor) in era.columns.items()]
     return raw.select(*columns)
 
 
@@ -83,8 +89,7 @@ def _read_list(
     frames = []
     for era in eras:
         chosen = [p for (y, m), p in sorted(paths.items()) if era.first <= edition_number(y, m) < era.before]
-        if chosen:
-            frames.append(_read_era(spark, chosen, era, fixed, fmt))
+        frames += [_mapped(raw, era, fixed) for raw in _by_header(spark, chosen, fmt)]
     if not frames:
         raise ValueError(f"no edition of {listing} within the known eras")
     rows = union_all(frames)
