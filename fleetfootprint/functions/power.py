@@ -15,11 +15,14 @@ def zero_if_missing(value: Column) -> Column:
     return F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
 
 
+def mean_watts(tau: float | Column, idle_watts: Column, full_watts: Column) -> Column:
+    """Power drawn at utilisation ``tau``."""
+    return idle_watts * (1 - tau) + full_watts * tau
+
+
 def semester_gwh(tau: float | Column, idle_watts: Column, full_watts: Column) -> Column:
     """Energy of a semester at utilisation ``tau`` between idle and full power."""
-    tau = F.lit(tau) if isinstance(tau, (int, float)) else tau
-    mean_watts = (1 - tau) * idle_watts + tau * full_watts
-    return F.lit(HOURS_PER_MONTH) * mean_watts / F.lit(1e9) * 6
+    return mean_watts(tau, idle_watts, full_watts) * HOURS_PER_MONTH / 1e9 * 6
 
 
 def age_class(age: Column, lifespan: Column) -> Column:
@@ -31,6 +34,12 @@ def age_class(age: Column, lifespan: Column) -> Column:
     )
 
 
+def utilisation(level: Column, tau_levels: tuple[float, float, float]) -> Column:
+    """Utilisation of an age class, NULL when not running."""
+    first, second, later = tau_levels
+    return F.when(level == 0, first).when(level == 1, second).when(level == 2, later)
+
+
 def extended_lifespan(lifespan: Column, reason: Column, time_after_drop: float) -> Column:
     """Systems pushed off the list keep running for a while; removed ones stop."""
     return F.when(reason == "Dropped", lifespan + time_after_drop).otherwise(lifespan)

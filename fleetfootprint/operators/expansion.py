@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetfootprint.functions.calendar import edition_to_date
-from fleetfootprint.functions.power import age_class, extended_lifespan, semester_gwh, zero_if_missing
+from fleetfootprint.functions.power import (
+    age_class,
+    extended_lifespan,
+    mean_watts,
+    semester_gwh,
+    utilisation,
+    zero_if_missing,
+)
 from fleetfootprint.schemas import ImpactParams
 
 PARTS = ("cpu", "gpu")
@@ -38,12 +45,14 @@ def with_power(entities: DataFrame, params: ImpactParams) -> DataFrame:
     return entities.withColumns(columns)
 
 
-def _energy(part: str, level: Column, params: ImpactParams) -> Column:
-    """Energy at the utilisation of an age class, 0 outside of them."""
-    energy = F.lit(0.0)
-    for k, tau in enumerate(params.tau_levels):
-        energy = F.when(level == k, semester_gwh(tau, F.col(f"{part}_idle"), F.col(f"{part}_full"))).otherwise(energy)
-    return energy
+def _energy(part: str, tau: Column, suffix: str = "") -> Column:
+    """Energy of a part at a utilisation, 0 when there is none."""
+    return F.coalesce(semester_gwh(tau, F.col(f"{part}_idle{suffix}"), F.col(f"{part}_full{suffix}")), F.lit(0.0))
+
+
+def _draws_power(tau: float | Column) -> Column:
+    watts = [mean_watts(tau, F.col(f"{p}_idle"), F.col(f"{p}_full")) for p in PARTS]
+    return F.coalesce(F.greatest(*watts) > 0, F.lit(False))
 
 
 def _step_of(moment: Column, params: ImpactParams) -> Column:
@@ -67,21 +76,21 @@ def expand_semesters(entities: DataFrame, params: ImpactParams) -> DataFrame:
     rows = powered.withColumn("_step", F.explode(steps))
     rows = rows.withColumn("semester", F.col("_step") * 0.5 + params.span[0])
     age = F.col("semester") - F.col("install")
-    level = age_class(age, F.col("life"))
     before = F.when(F.col("_step") > 0, age_class(age - 0.5, F.col("life")))
-    energies = {f"{p}_gwh": _energy(p, level, params) for p in PARTS}
-    ran = F.greatest(*[_energy(p, before, params) for p in PARTS]) > 0
-    rows = rows.withColumns(energies | {"_ran": ran}).withColumns(
+    rows = rows.withColumns(
         {
-            "total_gwh": F.col("cpu_gwh") + F.col("gpu_gwh"),
-            "active": (F.col("cpu_gwh") > 0) | (F.col("gpu_gwh") > 0),
+            "_tau": utilisation(age_class(age, F.col("life")), params.tau_levels),
+            "_tau_before": utilisation(before, params.tau_levels),
         }
+    ).withColumns(
+        {f"{p}_gwh": _energy(p, F.col("_tau")) for p in PARTS}
+        | {"active": _draws_power(F.col("_tau")), "_ran": _draws_power(F.col("_tau_before"))}
     )
-    rows = rows.withColumns(
+    rows = rows.withColumn("total_gwh", F.col("cpu_gwh") + F.col("gpu_gwh")).withColumns(
         {f"{p}_carbon_t": F.col(f"{p}_gwh") * F.col("intensity") for p in (*PARTS, "total")}
         | {"added": F.col("active") & ~F.col("_ran"), "removed": F.col("_ran") & ~F.col("active")}
     )
-    return rows.drop("_step", "_ran")
+    return rows.drop("_step", "_ran", "_tau", "_tau_before")
 
 
 def _cohorts(entities: DataFrame, params: ImpactParams, by: list[str]) -> DataFrame:
@@ -91,10 +100,7 @@ def _cohorts(entities: DataFrame, params: ImpactParams, by: list[str]) -> DataFr
     cohorts depends on the years covered and not on the number of systems.
     """
     powered = with_power(entities, params)
-    runs = [
-        F.greatest(*[semester_gwh(tau, F.col(f"{p}_idle"), F.col(f"{p}_full")) for p in PARTS]) > 0
-        for tau in params.tau_levels
-    ]
+    runs = [_draws_power(tau) for tau in params.tau_levels]
     sums = []
     for p in PARTS:
         for load in ("idle", "full"):
@@ -136,18 +142,18 @@ def impact_series(entities: DataFrame, params: ImpactParams, by: list[str] | Non
         .when((now == 2) & (before == 1), F.col("runs_12"))
         .otherwise(0)
     )
-    rows = rows.withColumns({"_active": running(now), "_was": running(before), "_kept": kept})
-
-    def energy(part: str, suffix: str = "") -> Column:
-        total = F.lit(0.0)
-        for k, tau in enumerate(params.tau_levels):
-            gwh = semester_gwh(tau, F.col(f"{part}_idle{suffix}"), F.col(f"{part}_full{suffix}"))
-            total = F.when(now == k, gwh).otherwise(total)
-        return F.sum(total)
-
+    rows = rows.withColumns(
+        {
+            "_active": running(now),
+            "_was": running(before),
+            "_kept": kept,
+            "_tau": utilisation(now, params.tau_levels),
+        }
+    )
+    tau = F.col("_tau")
     series = rows.groupBy(*by, "semester").agg(
-        *[energy(p).alias(f"{p}_gwh") for p in PARTS],
-        *[energy(p, "_weighted").alias(f"{p}_carbon_t") for p in PARTS],
+        *[F.sum(_energy(p, tau)).alias(f"{p}_gwh") for p in PARTS],
+        *[F.sum(_energy(p, tau, "_weighted")).alias(f"{p}_carbon_t") for p in PARTS],
         F.sum(F.col("_active") - F.col("_kept")).alias("systems_added"),
         F.sum(F.col("_was") - F.col("_kept")).alias("systems_removed"),
         F.sum("_active").alias("active_systems"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetfootprint.operators.skew import MIN_HOT_ROWS, hot_keys, order_cuts, piece_of
+from fleetfootprint.operators.skew import hot_keys, order_cuts, piece_of
 
 
 def first_value(value: Column, order: Column, where: Column | None = None) -> Column:
@@ -24,25 +24,26 @@ def first_non_null(df: DataFrame, key: str, order: str, columns: list[str]) -> D
     return df.groupBy(key).agg(*[first_known(F.col(c), F.col(order)).alias(c) for c in columns])
 
 
-def group_fill(df: DataFrame, key: str, order: str, columns: list[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def group_fill(
+    df: DataFrame, key: str, order: str, columns: list[str], hot: DataFrame | None = None
+) -> DataFrame:
     """Forward, then backward fill of ``columns`` within each key.
 
     A hot key is cut into consecutive pieces that are filled on their own; what a piece cannot answer
     comes from the nearest earlier (else later) piece through a summary of at most PIECES rows per key.
     """
-    hot = hot_keys(df, key, min_rows)
+    hot = hot_keys(df, key) if hot is None else hot
     if hot.isEmpty():
         return _fill_pieces(df, [key], order, columns)
 
     cuts = order_cuts(df, key, order, hot)
     pieces = df.join(F.broadcast(cuts), key, "left").withColumn("_piece", piece_of(F.col("_cuts"), F.col(order)))
-    known = [c for c in columns]
     summary = (
         pieces.filter(F.col("_cuts").isNotNull())
         .groupBy(key, "_piece")
         .agg(
-            *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_last_{c}") for c in known],
-            *[first_known(F.col(c), F.col(order)).alias(f"_first_{c}") for c in known],
+            *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_last_{c}") for c in columns],
+            *[first_known(F.col(c), F.col(order)).alias(f"_first_{c}") for c in columns],
         )
     )
     by_piece = Window.partitionBy(key).orderBy("_piece")
@@ -51,13 +52,11 @@ def group_fill(df: DataFrame, key: str, order: str, columns: list[str], min_rows
     carried = summary.select(
         key,
         "_piece",
-        *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in known],
-        *[F.first(f"_first_{c}", ignorenulls=True).over(after).alias(f"_after_{c}") for c in known],
+        *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in columns],
+        *[F.first(f"_first_{c}", ignorenulls=True).over(after).alias(f"_after_{c}") for c in columns],
     )
-    filled = _fill_pieces(
-        pieces.drop("_cuts").join(F.broadcast(carried), [key, "_piece"], "left"), [key, "_piece"], order, columns, carry=True
-    )
-    return filled.select(*df.columns)
+    with_carried = pieces.drop("_cuts").join(F.broadcast(carried), [key, "_piece"], "left")
+    return _fill_pieces(with_carried, [key, "_piece"], order, columns, carry=True).select(*df.columns)
 
 
 def _fill_pieces(df: DataFrame, group: list[str], order: str, columns: list[str], carry: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetfootprint.operators.skew import MIN_HOT_ROWS, join_per_key
+from fleetfootprint.operators.skew import join_per_key
 from fleetfootprint.session import settle
 
 
@@ -35,10 +35,10 @@ def presence_history(rows: DataFrame, key: str, edition: str) -> DataFrame:
     return history.withColumn("editions", F.col("appearances.edition"))
 
 
-def with_presence(rows: DataFrame, key: str, edition: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def with_presence(rows: DataFrame, key: str, edition: str, hot: DataFrame | None = None) -> DataFrame:
     """Every row together with its system's edition list and final edition."""
     history = presence_history(rows, key, edition).select(key, "editions", "n_appearances", "final_edition")
-    return join_per_key(rows, history, key, min_rows)
+    return join_per_key(rows, history, key, hot)
 
 
 def rank_thresholds(ranked: DataFrame, rank: str, n: int, edition: str, metric: str) -> DataFrame:

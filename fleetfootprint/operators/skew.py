@@ -22,13 +22,13 @@ def hot_keys(rows: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFra
     return settle(counts.filter(F.col("_rows") > limit).select(key), "hot-keys")
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
     """Inner join of rows with a table that has one row per key, spreading each hot key over PIECES tasks.
 
     The piece of a row is the number of the task that read it, so a retried task sends its rows to the
-    same place, and copies of one row do not pile up.
+    same place, and copies of one row do not pile up. ``hot`` is ``hot_keys`` of the rows, if at hand.
     """
-    hot = hot_keys(rows, key, min_rows)
+    hot = hot_keys(rows, key) if hot is None else hot
     if hot.isEmpty():
         return rows.join(per_key, key)
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))

@@ -10,6 +10,7 @@ from fleetfootprint.functions.text import unknown_if_missing
 from fleetfootprint.operators.fill import first_known, group_fill
 from fleetfootprint.operators.intensity import compare_providers, with_intensity
 from fleetfootprint.operators.lifecycle import rank_thresholds, with_exit_reason, with_presence
+from fleetfootprint.operators.skew import hot_keys
 from fleetfootprint.operators.specs import fill_missing_tdp, join_specs, with_unit_counts
 from fleetfootprint.schemas import LIST_LENGTH, MAX_EDITION, PERFORMANCE_LISTING
 from fleetfootprint.session import settle
@@ -17,15 +18,15 @@ from fleetfootprint.session import settle
 INTENSITIES = ["intensity_a", "intensity_a_direct", "intensity_b"]
 
 
-def computers(editions: DataFrame, metric: str = "rmax", max_edition: float = MAX_EDITION) -> DataFrame:
+def computers(
+    editions: DataFrame, metric: str = "rmax", max_edition: float = MAX_EDITION, hot: DataFrame | None = None
+) -> DataFrame:
     """Editions with presence history, lifespan and exit reason.
 
     The threshold is the metric of the last place of the performance listing.
     """
-    ranked = editions.filter(F.col("listing") == PERFORMANCE_LISTING)
-    thresholds = rank_thresholds(ranked, "rank", LIST_LENGTH, "edition", metric)
-    present = with_presence(editions, "entity_id", "edition")
-    return with_exit_reason(present, thresholds, metric, max_edition).withColumns(
+    present = with_presence(editions, "entity_id", "edition", hot)
+    return with_exit_reason(present, fleet_thresholds(editions, metric), metric, max_edition).withColumns(
         {
             "installation_year": F.col("year").cast("double"),
             "lifespan": F.col("final_edition") - F.col("year"),
@@ -35,9 +36,11 @@ def computers(editions: DataFrame, metric: str = "rmax", max_edition: float = MA
     )
 
 
-def chips(systems: DataFrame, cpu_specs: DataFrame, gpu_specs: DataFrame) -> DataFrame:
+def chips(
+    systems: DataFrame, cpu_specs: DataFrame, gpu_specs: DataFrame, hot: DataFrame | None = None
+) -> DataFrame:
     """Systems with chip specifications; names known in one listing are filled into the other first."""
-    named = group_fill(systems, "entity_id", "row_seq", ["processor", "accel_name"])
+    named = group_fill(systems, "entity_id", "row_seq", ["processor", "accel_name"], hot)
     cpu = cpu_specs.select(
         F.col("processor").alias("spec_processor"), F.col("tdp").alias("cpu_tdp"), F.col("num_cores").alias("cpu_num_cores")
     )
@@ -59,8 +62,15 @@ def build_fleet(
     metric: str = "rmax",
     max_edition: float = MAX_EDITION,
 ) -> DataFrame:
-    """The full fleet table: one row per (system, edition, listing)."""
-    rows = chips(computers(editions, metric, max_edition), cpu_specs, gpu_specs)
+    """The full fleet table: one row per (system, edition, listing).
+
+    The editions and the systems with chips are written once, because several later steps read a few of
+    their columns each.
+    """
+    editions = settle(editions, "editions")
+    hot = hot_keys(editions, "entity_id")
+    systems = computers(editions, metric, max_edition, hot)
+    rows = settle(chips(systems, cpu_specs, gpu_specs, hot), "chips")
     rows = rows.withColumn("year_month", edition_to_date(F.col("edition")))
     rows = with_intensity(rows, settle(intensity, "intensity"), "country", "year_month", INTENSITIES)
     rows = fill_missing_tdp(rows, cpu_specs, "processor", "cpu_tdp", "processor", "tdp")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +22,14 @@ SESSION_CONF = {
 }
 
 
+_TUNED: weakref.WeakSet[SparkSession] = weakref.WeakSet()
+
+
 def tune(spark: SparkSession) -> None:
-    """Apply the runtime settings to a session built elsewhere."""
+    """Apply the runtime settings, once, to a session built elsewhere."""
+    if spark in _TUNED:
+        return
+    _TUNED.add(spark)
     for key, value in SESSION_CONF.items():
         if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
             spark.conf.set(key, value)

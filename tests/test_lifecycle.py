@@ -28,7 +28,8 @@ def test_presence_history_with_gap_and_repeat(rows):
 
 @pytest.mark.parametrize("min_rows", [skew.MIN_HOT_ROWS, 1])
 def test_rows_get_their_history(rows, min_rows):
-    got = lifecycle.with_presence(rows.repartition(3), "id", "edition", min_rows).collect()
+    hot = skew.hot_keys(rows, "id", min_rows)
+    got = lifecycle.with_presence(rows.repartition(3), "id", "edition", hot).collect()
     assert len(got) == 6
     assert {(r["id"], r["final_edition"], len(r["editions"])) for r in got} == {("a", 2017.0, 3), ("b", 2016.0, 1), ("c", 2018.0, 1)}
 
@@ -95,7 +96,9 @@ def expected_fill(data):
 def test_group_fill(spark, min_rows, parts):
     data = gappy()
     df = spark.createDataFrame(data, "seq long, id int, x double, y string").repartition(parts, "seq")
-    got = {r["seq"]: (r["x"], r["y"]) for r in group_fill(df, "id", "seq", ["x", "y"], min_rows).collect()}
+    hot = skew.hot_keys(df, "id", min_rows)
+    got = {r["seq"]: (r["x"], r["y"]) for r in group_fill(df, "id", "seq", ["x", "y"], hot).collect()}
+    assert hot.isEmpty() == (min_rows == skew.MIN_HOT_ROWS)
     assert got == expected_fill(data)
 
 
