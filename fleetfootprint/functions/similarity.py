@@ -15,22 +15,23 @@ import pandas as pd
 
 def _codes(texts: list[str], pad: int) -> np.ndarray:
     """Code points as one row per text, padded with a value that never matches the other side."""
-    width = max((len(t) for t in texts), default=0)
-    out = np.full((len(texts), max(width, 1)), pad, dtype=np.int32)
-    for i, t in enumerate(texts):
-        out[i, : len(t)] = [ord(c) for c in t]
-    return out
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    width = max(int(lengths.max(initial=0)), 1)
+    flat = "".join(t.ljust(width) for t in texts).encode("utf-32-le", "surrogatepass")
+    codes = np.frombuffer(flat, dtype="<i4").reshape(len(texts), width)
+    return np.where(np.arange(width) < lengths[:, None], codes, np.int32(pad))
 
 
 def lcs_lengths(left: list[str], right: list[str]) -> np.ndarray:
     """Longest common subsequence of each aligned pair; one row of the table at a time for all pairs."""
     a, b = _codes(left, -1), _codes(right, -2)
-    row = np.zeros((len(left), b.shape[1] + 1), dtype=np.int32)
+    small = min(a.shape[1], b.shape[1]) < 2**15
+    row = np.zeros((len(left), b.shape[1] + 1), dtype=np.int16 if small else np.int32)
     for i in range(a.shape[1]):
         gain = row[:, :-1] + (b == a[:, i : i + 1])
         np.maximum(row[:, 1:], gain, out=gain)
         np.maximum.accumulate(gain, axis=1, out=row[:, 1:])
-    return row[:, -1]
+    return row[:, -1].astype(np.int64)
 
 
 def indel_ratio(distance: np.ndarray, total: np.ndarray) -> np.ndarray:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfootprint.operators.skew import join_per_key
-from fleetfootprint.session import settle
 
 
 def top_per_edition(rows: DataFrame, groups: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -42,17 +41,18 @@ def with_presence(rows: DataFrame, key: str, edition: str, hot: DataFrame | None
 
 
 def rank_thresholds(ranked: DataFrame, rank: str, n: int, edition: str, metric: str) -> DataFrame:
-    """Metric of the n-th system of each edition, keyed by the edition before it: one row per edition.
+    """Metric of the n-th system of each edition, keyed by the edition before it.
 
-    Written out, so that the join with it knows it is small and leaves the systems where they are: few
-    editions would make a very uneven shuffle key.
+    One row per half-year of a four-digit year, so never more than 20 000: it is broadcast, because a
+    handful of editions would make a very uneven shuffle key for the systems.
     """
+    half_year = F.floor(F.col(edition) * 2)
     thresholds = (
-        ranked.filter(F.col(rank) == n)
-        .groupBy((F.col(edition) - 0.5).alias("final_edition"))
+        ranked.filter((F.col(rank) == n) & half_year.between(0, 19_999))
+        .groupBy(((half_year - 1) / 2.0).alias("final_edition"))
         .agg(F.max(metric).alias("threshold"))
     )
-    return settle(thresholds, "thresholds")
+    return F.broadcast(thresholds)
 
 
 def exit_label(metric: Column, threshold: Column) -> Column:

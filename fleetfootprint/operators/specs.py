@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetfootprint.functions.power import unit_count
@@ -19,12 +19,19 @@ def join_specs(rows: DataFrame, specs: DataFrame, name: str, spec_name: str) ->
 
 
 def fill_missing_tdp(
-    rows: DataFrame, specs: DataFrame, name: str, tdp: str, spec_name: str, spec_tdp: str, default: float = DEFAULT_TDP
+    rows: DataFrame,
+    specs: DataFrame,
+    name: str,
+    tdp: str,
+    spec_name: str,
+    spec_tdp: str,
+    present: Column | None = None,
+    default: float = DEFAULT_TDP,
 ) -> DataFrame:
-    """Keep known values (above 0), estimate the rest from similar names, fall back on ``default``.
-
-    Rows without a name stay unknown: there is nothing to estimate. Each distinct name is scored once.
+    """Keep known values (above 0), estimate the rest from similar names, else use ``default`` where the
+    part is ``present`` (by default: where it has a name). Each distinct name is scored once.
     """
+    present = F.col(name).isNotNull() if present is None else present
     known = F.when(F.col(tdp) > 0, F.col(tdp))
     unmatched = rows.filter(known.isNull()).select(F.col(name).alias("name"))
     listed = specs.select(F.col(spec_name).alias("spec_name"), F.col(spec_tdp).alias("_spec_tdp"))
@@ -32,7 +39,7 @@ def fill_missing_tdp(
     estimates = settle(
         weighted_estimates(candidates, listed, "_spec_tdp", default=default).select("name", "estimate"), "estimates"
     )
-    filled = F.coalesce(known, F.col("estimate"), F.when(F.col(name).isNotNull(), F.lit(float(default))))
+    filled = F.coalesce(known, F.col("estimate"), F.when(present, F.lit(float(default))))
     keyed = estimates.withColumnRenamed("name", "_name")
     return (
         rows.join(keyed, (F.col(name) == F.col("_name")) & known.isNull(), "left")

@@ -73,8 +73,9 @@ def build_fleet(
     rows = settle(chips(systems, cpu_specs, gpu_specs, hot), "chips")
     rows = rows.withColumn("year_month", edition_to_date(F.col("edition")))
     rows = with_intensity(rows, settle(intensity, "intensity"), "country", "year_month", INTENSITIES)
-    rows = fill_missing_tdp(rows, cpu_specs, "processor", "cpu_tdp", "processor", "tdp")
-    rows = fill_missing_tdp(rows, gpu_specs, "accel_name", "gpu_tdp", "gpu_model", "gpu_tdp")
+    has_accel = F.col("accel_present") | F.col("accel_name").isNotNull()
+    rows = fill_missing_tdp(rows, cpu_specs, "processor", "cpu_tdp", "processor", "tdp", F.lit(True))
+    rows = fill_missing_tdp(rows, gpu_specs, "accel_name", "gpu_tdp", "gpu_model", "gpu_tdp", has_accel)
     return with_unit_counts(rows)
 
 

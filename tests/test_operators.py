@@ -111,6 +111,8 @@ def test_fill_keeps_known_and_estimates_the_rest(spark, sheet):
     )
     got = {r["id"]: r["tdp"] for r in specs.fill_missing_tdp(rows, sheet, "processor", "tdp", "spec_name", "tdp").collect()}
     assert got == {1: 3.0, 2: 240.0, 3: 200.0, 4: None}
+    always = specs.fill_missing_tdp(rows, sheet, "processor", "tdp", "spec_name", "tdp", F.lit(True))
+    assert always.filter("id = 4").first()["tdp"] == 200.0
 
 
 def test_missing_audit_and_rate(spark):

@@ -182,6 +182,8 @@ def test_fleet_table(built):
     assert (delta["cpu_tdp"], delta["gpu_tdp"], delta["num_gpus"], delta["num_cpus"]) == (150.0, 300.0, 80.0, 44.0)
     assert delta["country"] == "United States of America" and delta["intensity_a"] == 590
     assert {r["exit_reason"] for r in rows} == {"Removed"}
+    # an accelerator without a name gets the default, a system without one gets none
+    assert {r["gpu_tdp"] for r in alpha if r["listing"] == "Green500"} == {200.0} and top["gpu_tdp"] is None
     beta = next(r for r in rows if r["computer"] == "beta")
     assert beta["segment"] == "Unknown" and beta["gpu_tdp"] is None
 
