@@ -60,15 +60,17 @@ def group_fill(
 
 
 def _fill_pieces(df: DataFrame, group: list[str], order: str, columns: list[str], carry: bool = False) -> DataFrame:
+    # A row with nothing known before it takes the first known value of the whole group, so both frames
+    # cost one step per row; a frame from the current row to the end would cost one pass per row.
     ordered = Window.partitionBy(*group).orderBy(order)
     back = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = ordered.rowsBetween(0, Window.unboundedFollowing)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     filled = {}
     for c in columns:
         options = [F.last(c, ignorenulls=True).over(back)]
         if carry:
             options.append(F.col(f"_before_{c}"))
-        options.append(F.first(c, ignorenulls=True).over(ahead))
+        options.append(F.first(c, ignorenulls=True).over(whole))
         if carry:
             options.append(F.col(f"_after_{c}"))
         filled[c] = F.coalesce(*options)
