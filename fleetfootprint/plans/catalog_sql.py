@@ -20,12 +20,12 @@ provider_a AS (
          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) AS DOUBLE)
            / (count(*) * 1e6) AS intensity_a_direct
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-  WHERE n_nationkey % 7 <> 0 GROUP BY ALL),
+  GROUP BY ALL),
 provider_b AS (
   SELECT country, year(o_orderdate) AS year, month(o_orderdate) AS month,
          CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 6e4) AS intensity_b
   FROM orders JOIN customers ON o_custkey = c_custkey
-  WHERE c_nationkey % 5 <> 1 GROUP BY ALL),
+  GROUP BY ALL),
 intensity AS (
   SELECT country, year, month, intensity_a, intensity_a_direct, intensity_b,
          intensity_a - intensity_b AS intensity_difference
@@ -268,7 +268,7 @@ SELECT event_id, event_type AS zone_key, CAST(ts AS DATE) AS reading_date, year(
 
     sql["q_zone_dim"] = """
 SELECT n_name AS country, 'Z' || (s_suppkey % 3) AS zone_key, min(s_suppkey) AS zone_order
-FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 5 <> 0 GROUP BY 1, 2"""
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 1000 GROUP BY 1, 2"""
 
     sql["q_long_filter"] = """
 SELECT year(l_shipdate) AS year, month(l_shipdate) AS month, count(*) AS n, round(sum(l_extendedprice), 2) AS value
