@@ -6,9 +6,10 @@ import pytest
 from check_catalog import compare, connect
 
 import __spark_entry__ as entry
+from fleetfootprint.plans import catalog, catalog_sql
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog_sql.oracle_sql()
 IMPACT = [
     "q_energy_series", "q_carbon_series", "q_carbon_series_b", "q_churn", "q_fleet_average", "q_entity_vs_fleet",
     "q_kpi_summary", "q_unpivot_long", "q_semester_expand", "q_minimal_view",
