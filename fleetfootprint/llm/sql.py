@@ -48,7 +48,7 @@ OP6 = rf"""
 WITH texts AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), windows AS (
   SELECT row, unnest(range(1, len(words) - 1)) AS place, words FROM texts WHERE len(words) > 2
@@ -62,7 +62,7 @@ WITH texts AS (
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          len(regexp_extract_all(text, '\p{{Lu}}'))::BIGINT AS n_capitals,
          len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-         len(list_filter(words, w -> lower(w) IN ({STOPS})))::BIGINT AS n_stop_words,
+         len(list_filter(words, lambda w: lower(w) IN ({STOPS})))::BIGINT AS n_stop_words,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM texts LEFT JOIN covered USING (row)
 )
