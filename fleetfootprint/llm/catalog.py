@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfootprint.llm import mixing, packing, rules, simhash, sql
+from fleetfootprint.llm import mixing, packing, pii, rules, simhash, sql
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = (op1_source_mix, op6_quality_rules, op9_packing, op10_simhash)
+QUERIES = (op1_source_mix, op6_quality_rules, op8_personal_data, op9_packing, op10_simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

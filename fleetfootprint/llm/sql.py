@@ -50,10 +50,13 @@ WITH texts AS (
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
+), spread AS (
+  SELECT row, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM texts
 ), windows AS (
-  SELECT row, unnest(range(1, len(words) - 1)) AS place, words FROM texts WHERE len(words) > 2
+  SELECT row, place, word || ' ' || lead(word) OVER by_row || ' ' || lead(word, 2) OVER by_row AS three
+  FROM spread WINDOW by_row AS (PARTITION BY row ORDER BY place)
 ), found AS (
-  SELECT row, place, count(*) OVER (PARTITION BY row, words[place:place + 2]) AS times FROM windows
+  SELECT row, place, count(*) OVER (PARTITION BY row, three) AS times FROM windows WHERE three IS NOT NULL
 ), covered AS (
   SELECT row, count(DISTINCT place + k) AS n_repeat_words FROM found, range(3) r(k) WHERE times > 1 GROUP BY row
 ), measured AS (
