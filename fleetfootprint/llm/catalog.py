@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfootprint.llm import mixing, packing, pii, rules, simhash, sql
+from fleetfootprint.llm import mixing, packing, pii, rules, simhash, sql, vectors
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("first_position", first).drop("occurrences").orderBy("first_position", "doc_id")
 
 
+def op4_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(read(spark, sf_dir, "documents"))
     return judged.select(
@@ -41,7 +45,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = (op1_source_mix, op6_quality_rules, op8_personal_data, op9_packing, op10_simhash)
+QUERIES = (op1_source_mix, op4_vector_neighbours, op6_quality_rules, op8_personal_data, op9_packing, op10_simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
