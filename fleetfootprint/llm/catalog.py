@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfootprint.llm import mixing, packing, pii, rules, simhash, sql, vectors
+from fleetfootprint.llm import language, mixing, packing, pii, quality, rules, simhash, sql, vectors
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,24 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("first_position", first).drop("occurrences").orderBy("first_position", "doc_id")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    held_out = language.in_fold(F.col("doc_id"), 3, 1)
+    model = quality.fit(docs, labels.filter(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language.in_fold(F.col("doc_id"), 4, 2)
+    model = language.fit(docs.filter(~held_out))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(read(spark, sf_dir, "documents"))
     return judged.select(
@@ -45,7 +59,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = (op1_source_mix, op4_vector_neighbours, op6_quality_rules, op8_personal_data, op9_packing, op10_simhash)
+QUERIES = (op1_source_mix, op2_quality_classifier, op4_vector_neighbours, op5_language, op6_quality_rules, op8_personal_data, op9_packing, op10_simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
