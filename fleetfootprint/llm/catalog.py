@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfootprint.llm import language, mixing, packing, pii, quality, rules, simhash, sql, vectors
+from fleetfootprint.llm import language, mixing, packing, pages, pii, quality, rules, simhash, sql, vectors
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = (op1_source_mix, op2_quality_classifier, op4_vector_neighbours, op5_language, op6_quality_rules, op8_personal_data, op9_packing, op10_simhash)
+QUERIES = (op1_source_mix, op2_quality_classifier, op4_vector_neighbours, op5_language, op6_quality_rules, op7_page_text, op8_personal_data, op9_packing, op10_simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

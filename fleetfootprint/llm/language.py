@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetfootprint.llm.frames import plain
+
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
 CLUSTERS = 3
@@ -146,7 +148,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         for frame in frames:
             found = [model.predict(t) for t in frame["__text"]]
             names, scores, out = zip(*found) if found else ((), (), ())
-            yield frame.drop(columns="__text").assign(lang_pred=list(names), score=list(scores), rejected=list(out))
+            yield plain(frame.drop(columns="__text")).assign(lang_pred=list(names), score=list(scores), rejected=list(out))
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
