@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetfootprint.llm import language, mixing, packing, pages, pii, quality, rules, simhash, sql, vectors
+from fleetfootprint.llm import language, mixing, packing, pages, pii, quality, rules, simhash, sql, tokens, vectors
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.prefix_counts(read(spark, sf_dir, "documents"))
+    total = tokens.n_tokens(F.col("counts"))
+    return counted.select("doc_id", "n_bytes", total.alias("n_tokens"), (total > tokens.LIMIT).alias("over_limit"))
+
+
 def op4_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -63,7 +69,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = (op1_source_mix, op2_quality_classifier, op4_vector_neighbours, op5_language, op6_quality_rules, op7_page_text, op8_personal_data, op9_packing, op10_simhash)
+QUERIES = (op1_source_mix, op2_quality_classifier, op3_token_counts, op4_vector_neighbours, op5_language, op6_quality_rules, op7_page_text, op8_personal_data, op9_packing, op10_simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
