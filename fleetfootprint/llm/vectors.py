@@ -19,6 +19,8 @@ that repeat a vec_id get a row each; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,6 +37,7 @@ CELL_RADII = 4
 TILE_ROWS = 16_384
 SAMPLE_ROWS = 4_096
 SLACK = 1e-9
+COARSE = 1e-5
 
 
 def _unit(packed: pd.Series, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,17 +137,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows:
         node, copies, tiles = frame["node"].to_numpy(), frame["copies"].to_numpy(), frame["tile"].to_numpy()
         parts = [blocks.project(unit, b) for b in range(len(blocks.shares))]
         own, links, label = _cells(blocks, unit, block)[0], np.zeros(len(frame), np.int64), np.arange(len(frame))
-        mine, share = parts[block], blocks.shares[block] * (1 + SLACK) + SLACK
-        square = (mine * mine).sum(axis=1)
+        # one product of [-2x, |x|^2, 1] and [y, 1, |y|^2] gives the squared distances; single precision, so with more slack
+        mine, share = parts[block], np.float32(blocks.shares[block] + COARSE)
+        square, one = (mine * mine).sum(axis=1, keepdims=True), np.ones((len(frame), 1))
+        from_left = np.hstack([-2 * mine, square, one]).astype(np.float32)
+        from_right = np.hstack([mine, one, square]).astype(np.float32)
         norm = np.linalg.norm(raw, axis=1)
         right_rows = np.flatnonzero(tiles == high)
         left_rows = np.flatnonzero(tiles == low)
-        step = max(1, 4_000_000 // max(1, len(right_rows)))
-        for at in range(0, len(left_rows), step):
-            rows = left_rows[at : at + step]
-            near = square[rows][:, None] + square[right_rows][None, :] - 2 * (mine[rows] @ mine[right_rows].T) <= share
-            i, j = np.nonzero(near)
-            i, j = rows[i], right_rows[j]
+        for at, over in itertools.product(range(0, len(left_rows), 512), range(0, len(right_rows), 2048)):
+            rows, others = left_rows[at : at + 512], right_rows[over : over + 2048]
+            if low == high and rows[0] > others[-1]:
+                continue
+            near = np.flatnonzero(from_left[rows] @ from_right[others].T <= share)
+            if not len(near):
+                continue
+            i, j = rows[near // len(others)], others[near % len(others)]
             ordered = i < j if low == high else np.ones(len(i), bool)
             i, j = i[ordered], j[ordered]
             for part in range(0, len(i), 200_000):
