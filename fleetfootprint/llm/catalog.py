@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fleetfootprint.llm import language, mixing, packing, pages, pii, quality, rules, simhash, sql, tokens, vectors
 
 
@@ -42,7 +43,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language.in_fold(F.col("doc_id"), 4, 2)
     model = language.fit(docs.filter(~held_out))
-    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "found.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = (op1_source_mix, op2_quality_classifier, op3_token_counts, op4_vector_neighbours, op5_language, op6_quality_rules, op7_page_text, op8_personal_data, op9_packing, op10_simhash)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = (op1_source_mix, op2_quality_classifier, op3_token_counts, op4_vector_neighbours, op5_language, op6_quality_rules, op7_page_text, op8_personal_data, op9_packing, op10_simhash, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -77,4 +82,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.ORACLE
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return sql.ORACLE | own

@@ -20,8 +20,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetfootprint.llm.frames import plain
-
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
 CLUSTERS = 3
@@ -141,18 +139,16 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, clusters: int = CLUST
     return Model(idf, np.concatenate(centroids), np.array(names, dtype=object), accept)
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred, score and rejected."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", into: str = "found") -> DataFrame:
+    """``docs`` with the struct ``into``: lang_pred, score and rejected."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [model.predict(t) for t in frame["__text"]]
-            names, scores, out = zip(*found) if found else ((), (), ())
-            yield plain(frame.drop(columns="__text")).assign(lang_pred=list(names), score=list(scores), rejected=list(out))
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            found = [model.predict(None if pd.isna(t) else t) for t in batch]
+            yield pd.DataFrame(found, columns=["lang_pred", "score", "rejected"])
 
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return rows.mapInPandas(run, schema)
+    return docs.withColumn(into, predict(F.col(text_col)))
 
 
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:

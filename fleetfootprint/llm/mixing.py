@@ -174,9 +174,12 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` (documents) as the mix delivers them: a row per occurrence, the text cut where a target ends in it."""
+    """``docs`` (documents) as the mix delivers them, range-sorted by training position.
+
+    A row per occurrence; the text is cut where its source's target ends in it.
+    """
     rows = assign_positions(docs, keep_rows=True).select("row", "size", F.inline("occurrences"))
     cut = F.col("words") < F.col("size")
     text = F.when(cut, first_words(F.col("row.text"), F.col("words").cast("int"))).otherwise(F.col("row.text"))
     changed = {"text": text, "n_chars": F.when(cut, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
-    return rows.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return rows.orderBy("position", "row.doc_id", "epoch").select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

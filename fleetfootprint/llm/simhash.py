@@ -202,12 +202,40 @@ def forest(codes: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET
     return dealt.groupBy("bucket").applyInPandas(search, "a long, b long")
 
 
+def classes(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """fp, component_id (smallest id reachable) for ``codes`` (fp, least: the smallest id of each fingerprint)."""
+    joined = connected_components(forest(codes, max_bits))
+    placed = codes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    return settle(placed.join(named, "component").select("fp", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable through links of at most ``max_bits`` bits)."""
     coded = settle(fingerprints(docs, id_col, text_col), "fingerprints")
     codes = settle(coded.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    joined = connected_components(forest(codes, max_bits))
-    classes = codes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_code = settle(classes.join(named, "component").select("fp", "component_id"), "classes")
-    return coded.join(of_code, "fp").select("doc_id", "fp", "component_id")
+    return coded.join(classes(codes, max_bits), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` per group of near-duplicates: that with the smallest id (null last; of equal ids, any one).
+
+    Rows get a number as they are written, so that rows that repeat can be told apart.
+    """
+
+    @F.pandas_udf("long")
+    def code(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(np.array([fingerprint(None if pd.isna(t) else t) for t in batch], dtype=np.uint64).view(np.int64))
+
+    rows = settle(
+        docs.select(F.struct(*docs.columns).alias("row"), code(F.col(text_col)).alias("fp"), F.monotonically_increasing_id().alias("number")),
+        "numbered",
+    )
+    # the id of a code is the order its best row stands in: ids first, null last, then the row's number
+    rank = F.struct(F.col(f"row.{id_col}").isNull().alias("none"), F.col(f"row.{id_col}").alias("id"), F.col("number"))
+    best = settle(rows.groupBy("fp").agg(F.min(rank).alias("best")), "best")
+    joined = connected_components(forest(best.select("fp"), max_bits))
+    placed = best.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    winners = settle(placed.groupBy("component").agg(F.min("best")["number"].alias("number")).select("number"), "winners")
+    return rows.join(winners, "number", "left_semi").select("row.*")
