@@ -74,7 +74,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(digits(m)).between(10, 15), "tel|phone|call|mobile|fax", 0.6, hint="+"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97, "iban|bank|account|konto|compte|cuenta", 0.9, base=False),
     Kind("tel", r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])", None, "tel|phone|call|mobile|fax", 0.6, base=False, hint="+"),
-    Kind("pan", r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])", lambda m: luhn(digits(m)), "card|visa|credit|pay|account", 0.7, base=False),
+    Kind("pan", r"(?<![0-9])(?:[0-9]{4}(?:[\x20-]?[0-9]{4}){3}|3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5})(?![0-9])", lambda m: luhn(digits(m)), "card|visa|credit|pay|account", 0.7, base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), "ssn|social|security|sozial|seguridad", 0.3, base=False),
 )
 

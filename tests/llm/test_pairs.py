@@ -1,0 +1,108 @@
+"""SimHash, embeddings and components against all pairs."""
+
+import random
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+
+from fleetfootprint.llm import simhash, vectors
+from fleetfootprint.llm.components import connected_components
+
+
+def classes(n, pairs):
+    label = list(range(n))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        label[b] = a
+    return [top(i) for i in range(n)]
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(300)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = sorted({x for e in edges for x in e})
+    at = {n: i for i, n in enumerate(nodes)}
+    want = classes(len(nodes), [(at[a], at[b]) for a, b in edges])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {n: nodes[want[at[n]]] for n in nodes if n in linked}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def fingerprint(text):
+    words = simhash.WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    codes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(c >> k & 1 for c in codes) > len(codes))
+
+
+def test_fingerprints_and_groups(docs, no_docs, texts):
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(texts)
+    codes = [fingerprint(t) for _, t in texts]
+    want = classes(len(codes), [(i, j) for i in range(len(codes)) for j in range(i) if (codes[i] ^ codes[j]).bit_count() <= 3])
+    least = {}
+    for (doc_id, _), c in zip(texts, want):
+        least[c] = min(least.get(c, 10**9), 10**9 if doc_id is None else doc_id)
+    expect = sorted(((-1 if i is None else i), code, least[c]) for (i, _), code, c in zip(texts, codes, want))
+    mine = sorted((-1 if r.doc_id is None else r.doc_id, r.fp & (2**64 - 1), 10**9 if r.component_id is None else r.component_id) for r in got)
+    assert mine == expect
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(want))
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(-1 if v == 10**9 else v for v in least.values())
+    assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("hot_key", [10_000, 300])
+def test_gray_index(spark, hot_key):
+    rng = random.Random(3)
+    codes = {rng.getrandbits(64) for _ in range(300)}
+    for base in list(codes)[:40]:
+        for _ in range(40):
+            for k in rng.sample(range(64), rng.randint(1, 4)):
+                base ^= 1 << k
+            codes.add(base)
+    low = rng.getrandbits(16)
+    codes |= {rng.getrandbits(48) << 16 | low for _ in range(900)} | {0, 2**64 - 1, 1}
+    codes = np.array(sorted(codes), dtype=np.uint64)
+    near = np.argwhere(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 3, 1))
+    want = classes(len(codes), near)
+    frame = spark.createDataFrame(pd.DataFrame({"fp": codes.view(np.int64)}))
+    forest = simhash.forest(frame, bucket_rows=500, hot_key=hot_key).collect()
+    at = {int(c): i for i, c in enumerate(codes.view(np.int64))}
+    assert classes(len(codes), [(at[r.a], at[r.b]) for r in forest]) == want
+    assert len(forest) < 4 * 4 * len(codes)
+
+
+@pytest.mark.parametrize("tile_rows", [16_384, 150])
+def test_vectors(spark, tile_rows):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 40))
+    near = np.concatenate([base[i] + rng.normal(size=(30, 40)) * rng.uniform(0.1, 0.5, size=(30, 1)) for i in range(8)])
+    tight = np.concatenate([c + rng.normal(size=(60, 40)) for c in rng.normal(size=(2, 40)) * 5])
+    x = np.concatenate([base, near, near[:20], tight]).astype("f4")
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [None, [0.0] * 40, [float("nan")] * 40, [float("inf")] + [1.0] * 39, [1.0, None], [], [1.0, 2.0], [2.0, 4.0]]
+    rows += [(5000 + i, v) for i, v in enumerate(odd)] + [(None, [1.0] * 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("node", vectors.F.lit(1))
+    unit = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    component = classes(len(x), np.argwhere(np.triu(linked)))
+    got = {r.vec_id: r for r in vectors.near_duplicates(frame, tile_rows=tile_rows).collect()}
+    assert len(got) == len(rows)
+    for i in range(len(x)):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (linked[i].sum(), component[i], component[i] == i)
+    assert [(got[5000 + i].n_links, got[5000 + i].component_id) for i in range(8)] == [(0, 5000 + i) for i in range(6)] + [(1, 5006)] * 2
+    assert got[None].n_links == 0 and got[None].kept is False
+    assert vectors.near_duplicates(frame.limit(0)).count() == 0
