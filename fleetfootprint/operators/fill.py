@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfootprint.operators.skew import hot_keys, order_cuts, piece_of
+from fleetfootprint.session import settle
 
 
 def first_value(value: Column, order: Column, where: Column | None = None) -> Column:
@@ -29,33 +30,44 @@ def group_fill(
 ) -> DataFrame:
     """Forward, then backward fill of ``columns`` within each key.
 
-    A hot key is cut into consecutive pieces that are filled on their own; what a piece cannot answer
-    comes from the nearest earlier (else later) piece through a summary of at most PIECES rows per key.
+    Rows without an order come first, and rows without a key are a group. A hot key is cut into consecutive pieces that
+    are filled on their own; what a piece cannot answer comes from the nearest earlier (else later) piece through a
+    summary of one row per key and piece.
     """
     hot = hot_keys(df, key) if hot is None else hot
     if hot.isEmpty():
         return _fill_pieces(df, [key], order, columns)
 
-    cuts = order_cuts(df, key, order, hot)
-    pieces = df.join(F.broadcast(cuts), key, "left").withColumn("_piece", piece_of(F.col("_cuts"), F.col(order)))
+    cuts = order_cuts(df, key, order, hot).withColumnRenamed(key, "_cut_key")
+    pieces = (
+        df.join(cuts, F.col(key).eqNullSafe(F.col("_cut_key")), "left")
+        .drop("_cut_key")
+        .withColumn("_piece", piece_of(F.col("_cuts"), F.col(order)))
+    )
+    place = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("at"))
     summary = (
         pieces.filter(F.col("_cuts").isNotNull())
         .groupBy(key, "_piece")
         .agg(
-            *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_last_{c}") for c in columns],
-            *[first_known(F.col(c), F.col(order)).alias(f"_first_{c}") for c in columns],
+            *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_last_{c}") for c in columns],
+            *[first_known(F.col(c), place).alias(f"_first_{c}") for c in columns],
         )
     )
     by_piece = Window.partitionBy(key).orderBy("_piece")
     before = by_piece.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_piece.rowsBetween(1, Window.unboundedFollowing)
-    carried = summary.select(
-        key,
-        "_piece",
-        *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in columns],
-        *[F.first(f"_first_{c}", ignorenulls=True).over(after).alias(f"_after_{c}") for c in columns],
+    whole = by_piece.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = settle(
+        summary.select(
+            F.col(key).alias("_carried_key"),
+            F.col("_piece").alias("_carried_piece"),
+            *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_before_{c}") for c in columns],
+            # used only where neither this piece nor an earlier one has a value: then the first known is in a later piece
+            *[F.first(f"_first_{c}", ignorenulls=True).over(whole).alias(f"_after_{c}") for c in columns],
+        ),
+        "carried",
     )
-    with_carried = pieces.drop("_cuts").join(F.broadcast(carried), [key, "_piece"], "left")
+    same = F.col(key).eqNullSafe(F.col("_carried_key")) & (F.col("_piece") == F.col("_carried_piece"))
+    with_carried = pieces.drop("_cuts").join(carried, same, "left")
     return _fill_pieces(with_carried, [key, "_piece"], order, columns, carry=True).select(*df.columns)
 
 

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetfootprint.operators.skew import join_per_key
+from fleetfootprint.operators.skew import hot_from_counts, join_per_key
+from fleetfootprint.session import settle
+
+
+SALTS = 64
 
 
 def top_per_edition(rows: DataFrame, groups: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows of each edition with their rank.
 
-    Written as a row number below a constant, which Spark turns into a per-task limit before the
-    shuffle, so an edition that holds most of the table still sends at most n rows per task.
+    A handful of editions holds the whole table, so the top ``n`` are taken per edition and reading task, then per
+    edition and one of ``SALTS`` salts, then per edition: the last step sees at most ``n * SALTS`` rows of an edition,
+    whatever ``n`` and however large the edition.
     """
-    numbered = rows.withColumn(rank, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
-    return numbered.filter(F.col(rank) <= n)
+    best = rows.withColumn("_task", F.spark_partition_id()).withColumn("_salt", F.pmod("_task", F.lit(SALTS)))
+    for salt in (["_task", "_salt"], ["_salt"], []):
+        window = Window.partitionBy(*groups, *salt).orderBy(*order)
+        best = best.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+    return best.drop("_task", "_salt")
 
 
 def presence_history(rows: DataFrame, key: str, edition: str) -> DataFrame:
@@ -35,24 +43,27 @@ def presence_history(rows: DataFrame, key: str, edition: str) -> DataFrame:
 
 
 def with_presence(rows: DataFrame, key: str, edition: str, hot: DataFrame | None = None) -> DataFrame:
-    """Every row together with its system's edition list and final edition."""
-    history = presence_history(rows, key, edition).select(key, "editions", "n_appearances", "final_edition")
+    """Every row together with its system's edition list and final edition.
+
+    The history is written once: its appearance counts tell which systems have so many rows that the join spreads them.
+    """
+    history = settle(presence_history(rows, key, edition).select(key, "editions", "n_appearances", "final_edition"), "history")
+    hot = hot_from_counts(history, key, "n_appearances") if hot is None else hot
     return join_per_key(rows, history, key, hot)
 
 
 def rank_thresholds(ranked: DataFrame, rank: str, n: int, edition: str, metric: str) -> DataFrame:
-    """Metric of the n-th system of each edition, keyed by the edition before it.
+    """Metric of the n-th system of each edition, keyed by the edition half a year before it.
 
-    One row per half-year of a four-digit year, so never more than 20 000: it is broadcast, because a
-    handful of editions would make a very uneven shuffle key for the systems.
+    A handful of editions would make a very uneven shuffle key for the systems; as a written table its size is known,
+    so Spark broadcasts it while it is small.
     """
-    half_year = F.floor(F.col(edition) * 2)
     thresholds = (
-        ranked.filter((F.col(rank) == n) & half_year.between(0, 19_999))
-        .groupBy(((half_year - 1) / 2.0).alias("final_edition"))
+        ranked.filter(F.col(rank) == n)
+        .groupBy((F.col(edition) - 0.5).alias("final_edition"))
         .agg(F.max(metric).alias("threshold"))
     )
-    return F.broadcast(thresholds)
+    return settle(thresholds, "thresholds")
 
 
 def exit_label(metric: Column, threshold: Column) -> Column:

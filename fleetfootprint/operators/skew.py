@@ -7,23 +7,33 @@ from pyspark.sql import functions as F
 
 from fleetfootprint.session import settle
 
-# A key is hot above both a row count one task handles with ease and total / MAX_HOT_KEYS rows, so
-# there can never be more than MAX_HOT_KEYS of them: that is what bounds every broadcast below.
+# A key is hot above the rows one task handles with ease. Its pieces grow with its rows, so a piece never gets more
+# than about PIECE_ROWS of them; tables of hot keys are joined without a hint, because their number is not bounded.
 MIN_HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 10_000
-PIECES = 64
+PIECE_ROWS = 1_000_000
+MIN_PIECES = 8
 
 
-def hot_keys(rows: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Keys with so many rows that one task should not take them all; at most MAX_HOT_KEYS rows."""
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    total = rows.agg(F.count(F.lit(1)).alias("_total")).scalar()
-    limit = F.greatest(F.lit(min_rows), F.floor(total / MAX_HOT_KEYS))
-    return settle(counts.filter(F.col("_rows") > limit).select(key), "hot-keys")
+def hot_from_counts(counts: DataFrame, key: str, rows: str, min_rows: int = MIN_HOT_ROWS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """key and ``pieces`` of the keys whose count ``rows`` is above ``min_rows``; a NULL key is a key."""
+    pieces = F.greatest(F.ceil(F.col(rows) / piece_rows).cast("int"), F.lit(MIN_PIECES))
+    return settle(counts.filter(F.col(rows) > min_rows).select(key, pieces.alias("pieces")), "hot-keys")
+
+
+def hot_keys(rows: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Keys with so many rows that one task should not take them all, with the number of pieces to cut them into."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return hot_from_counts(counts, key, "_rows", min_rows, piece_rows)
+
+
+def with_pieces(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Rows with the ``_pieces`` of their key, NULL where it is not hot."""
+    named = hot.select(F.col(key).alias("_hot_key"), F.col("pieces").alias("_pieces"))
+    return rows.join(named, F.col(key).eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")
 
 
 def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
-    """Inner join of rows with a table that has one row per key, spreading each hot key over PIECES tasks.
+    """Inner join of rows with a table that has one row per key, spreading each hot key over its pieces.
 
     The piece of a row is the number of the task that read it, so a retried task sends its rows to the
     same place, and copies of one row do not pile up. ``hot`` is ``hot_keys`` of the rows, if at hand.
@@ -31,28 +41,31 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, hot: DataFrame |
     hot = hot_keys(rows, key) if hot is None else hot
     if hot.isEmpty():
         return rows.join(per_key, key)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    piece = F.when(F.col("_hot"), F.pmod(F.spark_partition_id(), F.lit(PIECES))).otherwise(0)
-    pieces = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PIECES - 1))).otherwise(F.array(F.lit(0)))
-    spread_rows = rows.join(hot, key, "left").withColumn("_piece", piece).drop("_hot")
-    spread_keys = per_key.join(hot, key, "left").withColumn("_piece", F.explode(pieces)).drop("_hot")
+    piece = F.coalesce(F.pmod(F.spark_partition_id(), F.col("_pieces")), F.lit(0))
+    pieces = F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)
+    spread_rows = with_pieces(rows, key, hot).withColumn("_piece", piece).drop("_pieces")
+    spread_keys = with_pieces(per_key, key, hot).withColumn("_piece", F.explode(pieces)).drop("_pieces")
     return spread_rows.join(spread_keys, [key, "_piece"]).drop("_piece")
 
 
 def order_cuts(rows: DataFrame, key: str, order: str, hot: DataFrame) -> DataFrame:
     """Cut points that split each hot key's rows into consecutive pieces of about equal size.
 
-    Written once, because both users of the cuts must see the same approximate quantiles.
+    As many pieces as the hottest key needs. Written once, because both users of the cuts must see the same
+    approximate quantiles. Rows without an order come first, so they do not count in the quantiles.
     """
-    shares = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
+    pieces = hot.agg(F.max("pieces")).first()[0]
+    shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    accuracy = F.lit(max(10_000, 4 * pieces))
     cuts = (
-        rows.join(F.broadcast(hot), key)
+        with_pieces(rows, key, hot)
+        .filter(F.col("_pieces").isNotNull())
         .groupBy(key)
-        .agg(F.percentile_approx(order, shares, F.lit(10_000)).alias("_cuts"))
+        .agg(F.coalesce(F.percentile_approx(order, shares, accuracy), F.array().cast(f"array<{dict(rows.dtypes)[order]}>")).alias("_cuts"))
     )
     return settle(cuts, "order-cuts")
 
 
 def piece_of(cuts: Column, order: Column) -> Column:
-    """Number of cut points before ``order``; 0 for keys without cuts."""
+    """Number of cut points before ``order``; 0 for keys without cuts and for rows without an order."""
     return F.coalesce(F.size(F.filter(cuts, lambda c: c < order)), F.lit(0))

@@ -19,14 +19,20 @@ INTENSITIES = ["intensity_a", "intensity_a_direct", "intensity_b"]
 
 
 def computers(
-    editions: DataFrame, metric: str = "rmax", max_edition: float = MAX_EDITION, hot: DataFrame | None = None
+    editions: DataFrame,
+    metric: str = "rmax",
+    max_edition: float = MAX_EDITION,
+    hot: DataFrame | None = None,
+    last_rank: int = LIST_LENGTH,
+    keep_active: bool = False,
 ) -> DataFrame:
     """Editions with presence history, lifespan and exit reason.
 
-    The threshold is the metric of the last place of the performance listing.
+    The threshold is the metric of place ``last_rank`` of the performance listing, the length the lists were read with.
     """
     present = with_presence(editions, "entity_id", "edition", hot)
-    return with_exit_reason(present, fleet_thresholds(editions, metric), metric, max_edition).withColumns(
+    limits = fleet_thresholds(editions, metric, last_rank)
+    return with_exit_reason(present, limits, metric, max_edition, keep_active).withColumns(
         {
             "installation_year": F.col("year").cast("double"),
             "lifespan": F.col("final_edition") - F.col("year"),
@@ -61,6 +67,8 @@ def build_fleet(
     intensity: DataFrame,
     metric: str = "rmax",
     max_edition: float = MAX_EDITION,
+    last_rank: int = LIST_LENGTH,
+    keep_active: bool = False,
 ) -> DataFrame:
     """The full fleet table: one row per (system, edition, listing).
 
@@ -69,7 +77,7 @@ def build_fleet(
     """
     editions = settle(editions, "editions")
     hot = hot_keys(editions, "entity_id")
-    systems = computers(editions, metric, max_edition, hot)
+    systems = computers(editions, metric, max_edition, hot, last_rank, keep_active)
     rows = settle(chips(systems, cpu_specs, gpu_specs, hot), "chips")
     rows = rows.withColumn("year_month", edition_to_date(F.col("edition")))
     rows = with_intensity(rows, settle(intensity, "intensity"), "country", "year_month", INTENSITIES)
@@ -79,10 +87,10 @@ def build_fleet(
     return with_unit_counts(rows)
 
 
-def fleet_thresholds(editions: DataFrame, metric: str = "rmax") -> DataFrame:
+def fleet_thresholds(editions: DataFrame, metric: str = "rmax", last_rank: int = LIST_LENGTH) -> DataFrame:
     """Thresholds as used by the fleet table, for the impact queries."""
     ranked = editions.filter(F.col("listing") == PERFORMANCE_LISTING)
-    return rank_thresholds(ranked, "rank", LIST_LENGTH, "edition", metric)
+    return rank_thresholds(ranked, "rank", last_rank, "edition", metric)
 
 
 def minimal_view(fleet: DataFrame, key: str, order: str, columns: list[str], edition: str) -> DataFrame:

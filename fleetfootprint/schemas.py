@@ -4,6 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+@dataclass(frozen=True)
+class Era:
+    """Half-open range of editions sharing one header: target column -> (source column, factor)."""
+
+    first: float
+    before: float
+    columns: dict[str, tuple[str, float]] = field(hash=False)
+
+
+# ---- Fixed values: source schemas and header eras of the published lists ------------------------
 # CPU sheet: ten positional columns, the last one is an artefact of a trailing comma.
 CPU_SPEC_SCHEMA = (
     "processor string, manufacturer string, family string, model string, cores string, "
@@ -24,17 +34,6 @@ LONG_INTENSITY_SCHEMA = (
     "category string, subcategory string, variable string, unit string, value double"
 )
 
-
-@dataclass(frozen=True)
-class Era:
-    """Half-open range of editions sharing one header: target column -> (source column, factor)."""
-
-    first: float
-    before: float
-    columns: dict[str, tuple[str, float]] = field(hash=False)
-
-
-# ---- Fixed values: header eras of the published lists -------------------------------------------
 PERFORMANCE_ERAS = (
     Era(1993.0, 2008.5, {"cores": ("Processors", 1), "rmax": ("RMax", 1), "rpeak": ("RPeak", 1)}),
     Era(2008.5, 2011.5, {"cores": ("Cores", 1), "rmax": ("RMax", 1), "rpeak": ("RPeak", 1)}),
@@ -48,15 +47,15 @@ PERFORMANCE_ERAS = (
 )
 
 
-def _efficiency_era(first, before, top_rank, rank, efficiency, eff_factor, power, tera):
+def _efficiency_era(first, before, top_rank, rank, efficiency, eff_factor, power, tera, cores="Total Cores", early=False):
     speed = ("Rmax [TFlop/s]", 1000), ("Rpeak [TFlop/s]", 1000)
     if not tera:
-        speed = ("Rmax", 1), ("Rpeak", 1)
+        speed = (("RMax", 1), ("RPeak", 1)) if early else (("Rmax", 1), ("Rpeak", 1))
     return Era(
         first,
         before,
         {
-            "cores": ("Total Cores", 1),
+            "cores": (cores, 1),
             "rmax": speed[0],
             "rpeak": speed[1],
             "top_rank": (top_rank, 1),
@@ -68,7 +67,9 @@ def _efficiency_era(first, before, top_rank, rank, efficiency, eff_factor, power
 
 
 EFFICIENCY_ERAS = (
-    _efficiency_era(2012.0, 2014.0, "TOP500 Rank", "Rank", "Power Effeciency [GFlops/Watts]", 1, "Power", False),
+    _efficiency_era(1993.0, 2008.5, "TOP500 Rank", "Rank", "Power Effeciency [GFlops/Watts]", 1, "Power", False, "Processors", True),
+    _efficiency_era(2008.5, 2011.5, "TOP500 Rank", "Rank", "Power Effeciency [GFlops/Watts]", 1, "Power", False, "Cores", True),
+    _efficiency_era(2011.5, 2014.0, "TOP500 Rank", "Rank", "Power Effeciency [GFlops/Watts]", 1, "Power", False),
     _efficiency_era(2014.0, 2014.5, "Top500_Rank", "green500_rank", "mflops_per_watt", 1e-3, "Power", False),
     _efficiency_era(2014.5, 2015.0, "Top500_Rank", "Green500_Rank", "Mflops/Watt", 1e-3, "Power", False),
     _efficiency_era(2015.0, 2016.0, "top500_rank", "green500_rank", "mflops_per_watt", 1e-3, "total_power", False),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,9 @@ from fleetfootprint.schemas import (
     Era,
 )
 
-# Editions appear in June and November; a file is named by its year and month, e.g. top_2019_11.csv.
-MONTHS = (6, 11)
-FILE_EDITION = r"(\d{4})_?(\d{2})\.[a-z]+$"
+# Editions appear in June and November; a file or folder is named by its year and month, e.g. top_2019_11.csv.
+NAMED_EDITION = re.compile(r"(\d{4})_?(06|11)(?:\.[A-Za-z.]+)?$")
+HEADER_READERS = 16
 
 
 def edition_number(year: int, month: int) -> float:
@@ -60,24 +63,56 @@ def with_derived(rows: DataFrame, listing: str) -> DataFrame:
     )
 
 
-def _by_header(spark: SparkSession, paths: list[str], fmt: str) -> list[DataFrame]:
-    """One scan per distinct header: files of an era may still order or add columns differently."""
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        groups.setdefault(tuple(reader.format(fmt).load(path).columns), []).append(path)
-    return [reader.format(fmt).load(same) for same in groups.values()]
+def _hadoop_path(spark: SparkSession, path: str):
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()), name
+
+
+def edition_paths(spark: SparkSession, folder: str, first: tuple[int, int], last: tuple[int, int]) -> dict[tuple[int, int], str]:
+    """Paths of the editions ``first`` to ``last`` (year, month) in a folder, which is listed once."""
+    system, name = _hadoop_path(spark, folder)
+    found = {}
+    for status in system.listStatus(name):
+        named = NAMED_EDITION.search(status.getPath().getName())
+        if named and first <= (int(named[1]), int(named[2])) <= last:
+            found[int(named[1]), int(named[2])] = status.getPath().toString()
+    return dict(sorted(found.items()))
+
+
+def _by_header(spark: SparkSession, paths: dict[tuple[int, int], str], fmt: str) -> list[tuple[DataFrame, dict[tuple[int, int], str]]]:
+    """One scan per distinct header, with the paths it reads: files of an era may still order or add columns differently."""
+    reader = spark.read.format(fmt).option("header", True)
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        headers = pool.map(lambda path: tuple(reader.load(path).columns), paths.values())
+    groups: dict[tuple[str, ...], dict[tuple[int, int], str]] = {}
+    for (edition, path), header in zip(paths.items(), headers):
+        groups.setdefault(header, {})[edition] = path
+    return [(reader.load(list(same.values())), same) for same in groups.values()]
+
+
+def _edition_of_path(spark: SparkSession, paths: dict[tuple[int, int], str]) -> Column:
+    """Label of the edition whose path (a file or a folder) a row was read from."""
+    plain = lambda path: re.sub(r"^file:/+", "file:/", path)
+    read = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    label = F.lit(None).cast("string")
+    for (year, month), path in paths.items():
+        system, name = _hadoop_path(spark, path)
+        full = plain(system.makeQualified(name).toUri().toString())
+        label = F.when((read == full) | read.startswith(full + "/"), edition_label(F.lit(year), F.lit(month))).otherwise(label)
+    return label
 
 
-def _mapped(raw: DataFrame, era: Era, fixed: dict[str, tuple[str, str]]) -> DataFrame:
-    """Common column names; a header is found whatever its case, a missing one gives NULL."""
+def _mapped(raw: DataFrame, paths: dict[tuple[int, int], str], era: Era, fixed: dict[str, tuple[str, str]]) -> DataFrame:
+    """Common column names; a header is found whatever its case. Columns of the era must be there, others may be NULL."""
     by_name = {c.lower(): c for c in raw.columns}
+    absent = [header for header, _ in era.columns.values() if header.lower() not in by_name]
+    if absent:
+        raise ValueError(f"columns {absent} of the editions from {era.first} are not in the header of {sorted(paths.values())}")
 
     def source(header: str) -> Column:
         return F.col(f"`{by_name[header.lower()]}`") if header.lower() in by_name else F.lit(None)
 
-    year, month = (F.regexp_extract(F.col("_metadata.file_name"), FILE_EDITION, i) for i in (1, 2))
-    columns = [edition_label(year, month).alias("rank_year")]
+    columns = [_edition_of_path(raw.sparkSession, paths).alias("rank_year")]
     columns += [source(header).try_cast(kind).alias(target) for target, (header, kind) in fixed.items()]
     columns += [(source(h).try_cast("double") * factor).alias(target) for target, (h, factor) in era.columns.items()]
     return raw.select(*columns)
@@ -86,14 +121,16 @@ def _mapped(raw: DataFrame, era: Era, fixed: dict[str, tuple[str, str]]) -> Data
 def _read_list(
     spark: SparkSession, paths: dict[tuple[int, int], str], eras: tuple[Era, ...], fixed: dict, listing: str, n: int, fmt: str
 ) -> DataFrame:
+    known = lambda era, edition: era.first <= edition_number(*edition) < era.before
+    strange = [edition for edition in paths if not any(known(era, edition) for era in eras)]
+    if strange or not paths:
+        raise ValueError(f"editions {strange} of {listing} are outside the known eras" if paths else f"no edition of {listing}")
     frames = []
     for era in eras:
-        chosen = [p for (y, m), p in sorted(paths.items()) if era.first <= edition_number(y, m) < era.before]
-        frames += [_mapped(raw, era, fixed) for raw in _by_header(spark, chosen, fmt)]
-    if not frames:
-        raise ValueError(f"no edition of {listing} within the known eras")
+        chosen = {edition: path for edition, path in sorted(paths.items()) if known(era, edition)}
+        frames += [_mapped(raw, same, era, fixed) for raw, same in _by_header(spark, chosen, fmt)]
     rows = union_all(frames)
-    rows = rows.withColumn("rank", F.col("rank").cast("int"))
+    rows = rows.withColumn("rank", F.col("rank").cast("long"))
     rows = top_per_edition(rows, ["rank_year"], [F.col("rank"), F.col("computer"), F.col("site")], n, "_row").drop("_row")
     return with_derived(rows, listing)
 
@@ -132,9 +169,13 @@ def read_editions(
     if efficiency:
         frames.append(read_efficiency_lists(spark, efficiency, n, fmt))
     rows = union_all(frames)
+    shared = {target: kind for target, (_, kind) in PERFORMANCE_COLUMNS.items()}
+    shared |= {target: "double" for target in EFFICIENCY_ERAS[0].columns} | {"rank": "long"}
+    rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in shared.items() if c not in rows.columns})
+    # 15 bits hold any half-year up to the year 9999, 46 bits any rank below 7 * 10^13
     seq = (
-        F.when(F.col("listing") == PERFORMANCE_LISTING, 0).otherwise(1) * 10**9
-        + (F.col("edition") * 2).cast("long") * 10**5
-        + F.coalesce("rank", F.lit(0))
+        F.when(F.col("listing") == PERFORMANCE_LISTING, 0).otherwise(1).cast("long") * 2**61
+        + (F.col("edition") * 2).cast("long") * 2**46
+        + F.coalesce("rank", F.lit(0).cast("long"))
     )
     return rows.withColumn("row_seq", seq)

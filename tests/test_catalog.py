@@ -57,7 +57,7 @@ def test_long_filter_reaches_the_scan(spark):
 
 def test_top_n_is_cut_before_the_shuffle(spark):
     plan = plan_of(QUERIES["q_edition_topn"](spark, SF_DIR))
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") >= 2
 
 
 def test_flagship(spark):

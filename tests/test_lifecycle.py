@@ -34,7 +34,7 @@ def test_rows_get_their_history(rows, min_rows):
     assert {(r["id"], r["final_edition"], len(r["editions"])) for r in got} == {("a", 2017.0, 3), ("b", 2016.0, 1), ("c", 2018.0, 1)}
 
 
-def test_hot_keys_are_few_by_construction(spark):
+def test_hot_keys_are_those_above_the_limit(spark):
     df = spark.range(1000).select((F.col("id") % 10).alias("k"))
     assert skew.hot_keys(df, "k", min_rows=99).count() == 10
     assert skew.hot_keys(df, "k", min_rows=100).count() == 0
@@ -125,3 +125,47 @@ def test_first_value_keeps_null_of_first_row(spark):
     df = spark.createDataFrame([(1, None), (2, 4.0)], "seq int, x double")
     row = df.agg(fill.first_value(F.col("x"), F.col("seq")), fill.first_known(F.col("x"), F.col("seq"))).first()
     assert list(row) == [None, 4.0]
+
+
+def test_thresholds_of_any_edition(spark):
+    listed = spark.createDataFrame(
+        [(2015.0, 1, 9.0), (2015.25, 1, 99.0), (10001.0, 1, 5.0), (-1.0, 1, 6.0)], "edition double, rank long, metric double"
+    )
+    got = {r["final_edition"]: r["threshold"] for r in lifecycle.rank_thresholds(listed, "rank", 1, "edition", "metric").collect()}
+    assert got == {2014.5: 9.0, 2014.75: 99.0, 10000.5: 5.0, -1.5: 6.0}
+
+
+@pytest.mark.parametrize("n", [3, 5000])
+def test_top_of_one_large_edition(spark, n):
+    df = spark.range(20_000, numPartitions=7).select((F.col("id") % 2).alias("edition"), F.pmod(F.col("id") * 7919, F.lit(20_011)).alias("metric"))
+    top = lifecycle.top_per_edition(df, ["edition"], [F.col("metric").desc()], n)
+    got = {(r["edition"], r["rank"]): r["metric"] for r in top.collect()}
+    for edition in (0, 1):
+        want = sorted(((i * 7919) % 20_011 for i in range(edition, 20_000, 2)), reverse=True)[:n]
+        assert [got[edition, k + 1] for k in range(n)] == want
+    assert top.columns == ["edition", "metric", "rank"]
+    # every window but the last is split by reading task or salt
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_salt") >= 2 and plan.count("_task") >= 2
+
+
+def test_pieces_grow_with_the_key(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 900, F.lit(None).cast("int")).otherwise(1).alias("k"))
+    got = {r["k"]: r["pieces"] for r in skew.hot_keys(df, "k", min_rows=50, piece_rows=10).collect()}
+    assert got == {None: 90, 1: skew.MIN_PIECES + 2}
+
+
+def test_fill_agrees_for_null_order_and_null_key(spark):
+    """Rows without an order come first; rows without a key are one group; hot or not."""
+    data = [(None, 1, 7.0), (None, 2, None)] + [(i, 3 + i, 9.0 if i == 150 else None) for i in range(200)]
+    df = spark.createDataFrame([(k, *d) for k in ("a", None) for d in data], "id string, seq long, row long, x double")
+    want = {1: 7.0, 2: 7.0} | {3 + i: 7.0 if i < 150 else 9.0 for i in range(200)}
+    for min_rows in (skew.MIN_HOT_ROWS, 50):
+        hot = skew.hot_keys(df, "id", min_rows, piece_rows=20)
+        got = group_fill(df, "id", "seq", ["x"], hot).collect()
+        assert len(got) == 404
+        for r in got:
+            if r["row"] > 2:
+                assert r["x"] == want[r["row"]]
+            else:  # two rows without an order: which of them is first is open
+                assert r["x"] == 7.0

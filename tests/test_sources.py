@@ -1,8 +1,7 @@
 """Readers on small files of every era, and the whole way from files to the impact series."""
 
 import datetime as dt
-import glob
-import shutil
+import gzip
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,9 +16,10 @@ from fleetfootprint.sources.intensity import (
     read_zone_list,
     read_zone_readings,
 )
-from fleetfootprint.sources.lists import read_editions, read_efficiency_lists, read_performance_lists
+from fleetfootprint.sources.lists import edition_paths, read_editions, read_efficiency_lists, read_performance_lists
 from fleetfootprint.sources.specs import chip_specs, read_cpu_specs, read_gpu_specs
 
+# fixed values: header lines of the published lists and sheets, here and in the files below
 COMMON = "Site,Manufacturer,Computer,Country,Year,Nmax,Nhalf,Processor,Segment,Continent,Name,Accelerator/Co-Processor,Accelerator/Co-Processor Cores"
 
 
@@ -207,10 +207,49 @@ def test_minimal_view(built):
     assert alpha["intensity_b"] == 60.5
 
 
-def test_parquet_lists(spark, files, tmp_path):
-    path = str(tmp_path / "top_201506.parquet")
-    spark.read.option("header", True).csv(files["performance"][(2015, 6)]).write.parquet(path + "/part")
-    # spark names its own part files, so the edition is taken from a file named by hand
-    named = str(tmp_path / "list_201506.parquet")
-    shutil.copy(glob.glob(path + "/part/*.parquet")[0], named)
-    assert read_performance_lists(spark, {(2015, 6): named}, fmt="parquet").count() == 2
+def test_lists_as_spark_writes_them(spark, files, tmp_path):
+    """Folders, compressed files and names with spaces; the edition comes from the key, not from the file name."""
+    raw = spark.read.option("header", True).csv(files["performance"][(2015, 6)])
+    folder, zipped, named = (str(tmp_path / name) for name in ("any folder", "part.csv", "top_201506.csv.gz"))
+    raw.write.parquet(folder)
+    assert {r["rank_year"] for r in read_performance_lists(spark, {(2015, 6): folder}, fmt="parquet").collect()} == {"2015-06"}
+    raw.repartition(2).write.option("header", True).option("compression", "gzip").csv(zipped)
+    later = {(2015, 11): zipped, (2015, 6): files["performance"][(2015, 6)]}
+    got = read_performance_lists(spark, later).groupBy("rank_year").count().collect()
+    assert sorted(map(tuple, got)) == [("2015-06", 2), ("2015-11", 2)]
+    with gzip.open(named, "wt") as out:
+        out.write(open(files["performance"][(2015, 6)]).read())
+    found = edition_paths(spark, str(tmp_path), (2015, 6), (2015, 11))
+    assert list(found) == [(2015, 6)] and read_performance_lists(spark, found).count() == 2
+    assert edition_paths(spark, str(tmp_path), (2016, 6), (2020, 11)) == {}
+
+
+def test_strange_editions_are_errors(spark, files):
+    path = files["efficiency"][(2014, 6)]
+    with pytest.raises(ValueError, match="outside"):
+        read_efficiency_lists(spark, {(1980, 6): path, (2014, 6): path})
+    with pytest.raises(ValueError, match="not in the header"):
+        read_efficiency_lists(spark, {(2020, 6): path})
+    with pytest.raises(ValueError, match="no edition"):
+        read_performance_lists(spark, {})
+
+
+def test_early_efficiency_lists(spark, tmp_path):
+    path = tmp_path / "green_2010_11.csv"
+    path.write_text("Site,Computer,Country,Year,Name,Cores,RMax,RPeak,TOP500 Rank,Rank,Power Effeciency [GFlops/Watts],Power\nS,c,France,2009,n,8,9,10,1,2,3,4\n")
+    row = read_efficiency_lists(spark, {(2010, 11): str(path)}).first()
+    assert (row["cores"], row["rmax"], row["rank"], row["gflops_per_watt"], row["edition"]) == (8, 9, 2, 3, 2010.5)
+
+
+def test_fleet_of_efficiency_lists_alone(spark, files):
+    editions = read_editions(spark, {}, files["efficiency"])
+    systems = fleet_plans.computers(editions, max_edition=2024.5)
+    assert systems.count() == 7 and {r["segment"] for r in systems.collect()} == {"Unknown"}
+    chips = fleet_plans.chips(systems, read_cpu_specs(spark, files["cpu"]), read_gpu_specs(spark, files["gpu"]))
+    assert chips.count() == 7
+
+
+def test_last_rank_follows_the_lists(spark, files):
+    editions = read_editions(spark, files["performance"], {}, n=2)
+    kept = fleet_plans.computers(editions, max_edition=2024.5, last_rank=2, keep_active=True)
+    assert fleet_plans.fleet_thresholds(editions, last_rank=2).count() == 2 and kept.count() == 8
