@@ -7,6 +7,7 @@ monthly means of line-item and order prices by nation.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,7 @@ from fleetfootprint.operators.lifecycle import (
 )
 from fleetfootprint.operators.reshape import headers, preview_transposed, select_matching, union_all
 from fleetfootprint.operators.slicing import distinct_options, slice_fleet
+from fleetfootprint.operators.skew import hot_keys
 from fleetfootprint.operators.specs import (
     fill_missing_tdp,
     join_specs,
@@ -49,11 +51,12 @@ from fleetfootprint.operators.specs import (
     with_unit_counts,
 )
 from fleetfootprint.operators.stats import growth_curves, remove_outliers, sample_rows
+from fleetfootprint.plans import fleet as fleet_plans
 from fleetfootprint.plans import impact as plans
 from fleetfootprint.plans.fleet import minimal_view
-from fleetfootprint.schemas import Era, ImpactParams
-from fleetfootprint.session import fresh_path, settle, tune
-from fleetfootprint.sources.intensity import filter_long, zone_dimension
+from fleetfootprint.schemas import EFFICIENCY_LISTING, PERFORMANCE_LISTING, Era, ImpactParams
+from fleetfootprint.session import fresh_path, settle
+from fleetfootprint.sources.intensity import country_intensity, filter_long, zone_dimension
 from fleetfootprint.sources.lists import era_value
 from fleetfootprint.sources.sinks import save_table
 
@@ -63,6 +66,7 @@ MAX_EDITION = 2001.5
 LISTED = 500
 THRESHOLD_RANK = 100
 THRESHOLD_LISTING = "O"
+LIST_RANKS = 100
 COUNTRY = "NATION_3"
 BASE = ImpactParams(span=SPAN, time_after_drop=2.0)
 COUNTRY_SLICE = ImpactParams(
@@ -100,7 +104,6 @@ TABLES = {
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table under its known schema, so no job is spent on reading footers."""
-    tune(spark)
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -136,15 +139,25 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def provider_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly means by the supplier's nation; whole cents, summed per supplier first, so sums are exact."""
-    nation = table(spark, sf_dir, "nation")
+def since(moment: Column, year: int | None) -> Column:
+    """Readings from the start of a year on; reaches the scan."""
+    return F.lit(True) if year is None else moment >= F.lit(dt.datetime(year, 1, 1)).cast("timestamp_ntz")
+
+
+def provider_a(spark: SparkSession, sf_dir: str, country: str | None = None, from_year: int | None = None) -> DataFrame:
+    """Monthly means by the supplier's nation; whole cents, summed per supplier first, so sums are exact.
+
+    With a country, only its suppliers' lines are aggregated.
+    """
+    nation = table(spark, sf_dir, "nation").filter(F.lit(True) if country is None else F.col("n_name") == country)
     suppliers = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    lines = table(spark, sf_dir, "lineitem").filter(since(F.col("l_shipdate"), from_year))
+    if country is not None:
+        lines = lines.join(suppliers.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
     cents = hundredths(F.col("l_extendedprice"))
     percent_paid = 100 - hundredths(F.col("l_discount"))
     per_supplier = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_suppkey", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
+        lines.groupBy("l_suppkey", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
         .agg(
             F.sum(cents).alias("_life"),
             F.sum(cents * percent_paid).alias("_direct"),
@@ -162,15 +175,18 @@ def provider_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def provider_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly means by the customer's nation, summed per customer first."""
+def provider_b(spark: SparkSession, sf_dir: str, country: str | None = None, from_year: int | None = None) -> DataFrame:
+    """Monthly means by the customer's nation, summed per customer first; with a country, only its customers' orders."""
+    buyers = customers(spark, sf_dir).filter(F.lit(True) if country is None else F.col("country") == country)
+    orders = table(spark, sf_dir, "orders").filter(since(F.col("o_orderdate"), from_year))
+    if country is not None:
+        orders = orders.join(buyers.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
     per_customer = (
-        table(spark, sf_dir, "orders")
-        .groupBy("o_custkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+        orders.groupBy("o_custkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
         .agg(F.sum(hundredths(F.col("o_totalprice"))).alias("_cents"), F.count(F.lit(1)).alias("_n"))
     )
     return (
-        per_customer.join(customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+        per_customer.join(buyers, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("country", "year", "month")
         .agg((F.sum("_cents") / (F.sum("_n") * 60_000.0)).alias("intensity_b"))
     )
@@ -189,7 +205,7 @@ def fleet(spark: SparkSession, sf_dir: str, with_carbon: bool = True) -> DataFra
         .join(customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.col("o_custkey").alias("entity_id"),
-            ((F.col("edition") * 2).cast("long") * 10**12 + F.col("o_orderkey")).alias("row_seq"),
+            ((F.col("edition") * 2).cast("long") * 2**46 + F.col("o_orderkey")).alias("row_seq"),
             "o_orderkey",
             "edition",
             edition_to_date(F.col("edition")).alias("year_month"),
@@ -220,6 +236,130 @@ def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_thresholds(ranked, "rank", THRESHOLD_RANK, "edition", "o_totalprice")
 
 
+# ---- the same way as from files ------------------------------------------------------------------
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ranking lists: open ones the performance list, the others the efficiency list, cut at LIST_RANKS."""
+    lead = (
+        table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("p_brand").alias("p_brand"), F.min("p_type").alias("p_type"))
+    )
+    key, brand = F.col("o_orderkey"), F.col("p_brand")
+    is_open = F.col("o_orderstatus") == THRESHOLD_LISTING
+    orders = editions(spark, sf_dir).withColumn("listing", F.when(is_open, PERFORMANCE_LISTING).otherwise(EFFICIENCY_LISTING))
+    top = top_per_edition(orders, ["edition", "listing"], [F.col("o_totalprice").desc(), key], LIST_RANKS)
+    rows = top.join(lead, "o_orderkey", "left").join(customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+    accel = F.when(key % 3 == 0, F.col("p_type"))
+    return rows.select(
+        "o_orderkey",
+        F.col("o_custkey").alias("entity_id"),
+        "edition",
+        "listing",
+        F.col("rank").cast("long").alias("rank"),
+        F.col("o_totalprice").alias("rmax"),
+        F.year("o_orderdate").alias("year"),
+        F.upper("country").alias("country"),
+        null_if(F.col("segment"), "MACHINERY").alias("segment"),
+        F.when(key % 4 == 1, F.upper(brand)).when(key % 4 > 1, brand).alias("processor"),
+        accel.alias("accel_name"),
+        accel.isNotNull().alias("accel_present"),
+        F.floor("o_totalprice").alias("cores"),
+        F.when(accel.isNotNull(), F.floor(F.col("o_totalprice") / 2)).alias("accel_cores"),
+        (
+            F.when(is_open, 0).otherwise(1).cast("long") * 2**61
+            + (F.col("edition") * 2).cast("long") * 2**46
+            + F.col("rank").cast("long")
+        ).alias("row_seq"),
+    )
+
+
+def chip_sheets(spark: SparkSession, sf_dir: str, missing: str = "") -> tuple[DataFrame, DataFrame]:
+    """CPU sheet by brand and GPU sheet by type, without the type ``missing``."""
+    parts = table(spark, sf_dir, "part")
+    size = F.max("p_size")
+    cpus = parts.groupBy(F.col("p_brand").alias("processor")).agg(
+        size.cast("double").alias("tdp"), (size * 2).cast("int").alias("num_cores")
+    )
+    gpus = parts.filter(F.col("p_type") != missing).groupBy(F.col("p_type").alias("gpu_model")).agg(
+        (size * 10).cast("double").alias("gpu_tdp"), (size * 100).cast("int").alias("n_shaders"), size.cast("int").alias("n_sm"),
+        F.lit(None).cast("double").alias("second_gpu_tdp"),
+    )
+    return cpus, gpus
+
+
+def _labelled(systems: DataFrame) -> DataFrame:
+    return systems.select(
+        "o_orderkey", "entity_id", "edition", "listing", "rank", F.size("editions").cast("long").alias("n_editions"),
+        "n_appearances", "final_edition", "threshold", "exit_reason", "installation_year", "lifespan", "segment", "metric",
+    )
+
+
+def q_computers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(fleet_plans.computers(listed(spark, sf_dir), "rmax", MAX_EDITION, last_rank=LIST_RANKS))
+
+
+def q_exit_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    systems = fleet_plans.computers(listed(spark, sf_dir), "rmax", MAX_EDITION, last_rank=LIST_RANKS, keep_active=True)
+    return _labelled(systems)
+
+
+CHIP_COLUMNS = ("cpu_tdp", "cpu_num_cores", "gpu_tdp", "n_shaders", "n_sm", "second_gpu_tdp")
+
+
+def q_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = fleet_plans.chips(listed(spark, sf_dir), *chip_sheets(spark, sf_dir, missing="PROMO"))
+    return joined.select("o_orderkey", "entity_id", "processor", "accel_name", *CHIP_COLUMNS)
+
+
+def q_gpu_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accelerators without a power value: the default where one is present (no listed name is similar enough)."""
+    _, gpus = chip_sheets(spark, sf_dir)
+    parts = listed(spark, sf_dir).withColumn("gpu_tdp", F.when(F.col("accel_name") == "ECONOMY", F.lit(55.0)))
+    filled = fill_missing_tdp(parts, gpus.filter("gpu_model <> gpu_model"), "accel_name", "gpu_tdp", "gpu_model", "gpu_tdp", F.col("accel_present"))
+    return filled.select("o_orderkey", "accel_name", "gpu_tdp")
+
+
+def zone_readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Readings by zone and month, and the zone list: a nation's suppliers make up three zones."""
+    nation = table(spark, sf_dir, "nation")
+    zone = F.concat_ws("-", "n_name", F.col("s_suppkey") % 3)
+    suppliers = (
+        table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .select("s_suppkey", zone.alias("zone_key"), F.col("n_name").alias("country"))
+    )
+    per_supplier = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_suppkey", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
+        .agg(F.sum(hundredths(F.col("l_extendedprice"))).alias("_cents"), F.sum(hundredths(F.col("l_quantity"))).alias("_units"), F.count(F.lit(1)).alias("_n"))
+    )
+    readings = (
+        per_supplier.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("zone_key", "country", "year", "month")
+        .agg((F.sum("_cents") / (F.sum("_n") * 100.0)).alias("life_cycle"), (F.sum("_units") / (F.sum("_n") * 100.0)).alias("direct"))
+    )
+    return readings, zone_dimension(suppliers.withColumnRenamed("s_suppkey", "zone_order"), "zone_order")
+
+
+def q_country_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    readings, zones = zone_readings(spark, sf_dir)
+    first = country_intensity(readings, zones)
+    mean = country_intensity(readings, zones, mean=True).withColumnsRenamed({"intensity_a": "mean_a", "intensity_a_direct": "mean_direct"})
+    both = first.join(mean, ["country", "year", "month"])
+    return rounded(both, 6, "intensity_a", "intensity_a_direct", "mean_a", "mean_direct").withColumns({c: F.col(c).cast("long") for c in ("year", "month")})
+
+
+def q_build_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cpus, gpus = chip_sheets(spark, sf_dir)
+    monthly = fleet_plans.electricity(country_intensity(*zone_readings(spark, sf_dir)), provider_b(spark, sf_dir))
+    built = fleet_plans.build_fleet(listed(spark, sf_dir), cpus, gpus, monthly, "rmax", MAX_EDITION, LIST_RANKS)
+    chosen = built.select(
+        "o_orderkey", "entity_id", "edition", "final_edition", "exit_reason", "lifespan", "processor", "accel_name", "num_cpus",
+        "num_gpus", "cpu_tdp", "gpu_tdp", *fleet_plans.INTENSITIES,
+    )
+    return rounded(chosen, 6, *fleet_plans.INTENSITIES)
+
+
 # ---- loading and normalising ---------------------------------------------------------------------
 
 
@@ -440,6 +580,16 @@ def q_exit_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_exit_reason_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``q_exit_reason`` with every system of ten orders or more spread over pieces."""
+    orders = editions(spark, sf_dir)
+    present = with_presence(orders, "o_custkey", "edition", hot_keys(orders, "o_custkey", min_rows=9, piece_rows=2))
+    labelled = with_exit_reason(present, thresholds(spark, sf_dir), "o_totalprice", MAX_EDITION)
+    return labelled.select(
+        "o_orderkey", "o_custkey", "edition", F.size("editions").cast("long").alias("n_editions"), "final_edition", "threshold", "exit_reason"
+    )
+
+
 def _gappy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     return table(spark, sf_dir, "events").select(
@@ -458,6 +608,12 @@ def q_group_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_fill(_gappy_events(spark, sf_dir), "user_id", "event_id", ["reading", "processor"])
 
 
+def q_group_fill_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``q_group_fill`` with every user of ten events or more cut into pieces."""
+    rows = _gappy_events(spark, sf_dir)
+    return group_fill(rows, "user_id", "event_id", ["reading", "processor"], hot_keys(rows, "user_id", min_rows=9, piece_rows=4))
+
+
 def q_minimal_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fleet(spark, sf_dir)
     view = minimal_view(rows, "entity_id", "row_seq", ["country", "cpu_tdp", "gpu_tdp", "intensity_a", "intensity_b"], "edition")
@@ -612,8 +768,8 @@ def q_intensity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_yearly_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = ["intensity_b", "intensity_a", "intensity_a_direct"]
-    # chosen before the outer join, which a filter on its merged key cannot pass
-    of_country = [p(spark, sf_dir).filter(F.col("country") == COUNTRY) for p in (provider_a, provider_b)]
+    # chosen before the first aggregate; a filter on the merged key of the outer join would not get there
+    of_country = [provider(spark, sf_dir, COUNTRY, 1997) for provider in (provider_a, provider_b)]
     means = yearly_means(compare_providers(*of_country), COUNTRY, sources, 1997)
     return rounded(means, 6, *sources).withColumn("year", F.col("year").cast("long"))
 
@@ -621,6 +777,15 @@ def q_yearly_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- impact --------------------------------------------------------------------------------------
 
 
+def q_impact_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A country's series from a stored fleet that is partitioned by country: only its partition is read."""
+    rows = fleet(spark, sf_dir)
+    final = presence_history(editions(spark, sf_dir), "o_custkey", "edition").select(F.col("o_custkey").alias("entity_id"), "final_edition")
+    stored = save_table(rows.join(final, "entity_id"), fresh_path(spark, "fleet"), partition_by=["country"])
+    series = plans.impact(spark.read.parquet(stored), thresholds(spark, sf_dir), COUNTRY_SLICE, MAX_EDITION)
+    return rounded_impact(series)
+
+
 def q_filter_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fleet(spark, sf_dir, with_carbon=False)
     kept = slice_fleet(rows, COUNTRY_SLICE)
@@ -656,6 +821,13 @@ def q_carbon_series_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_impact(series)
 
 
+def q_carbon_by_semester(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every semester at its own intensity."""
+    monthly = settle(intensity(spark, sf_dir), "intensity")
+    rows = fleet(spark, sf_dir, with_carbon=False)
+    return rounded_impact(plans.impact_by_semester(rows, thresholds(spark, sf_dir), monthly, BASE, MAX_EDITION))
+
+
 def q_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn(expand_semesters(_entities(spark, sf_dir, with_carbon=False), BASE), SPAN)
 
@@ -674,13 +846,12 @@ def q_entity_vs_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_kpi_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    figures = plans.key_figures(settle(_comparison(spark, sf_dir), "comparison"))
+    figures = plans.key_figures(_comparison(spark, sf_dir))
     return rounded(rounded_impact(figures), 6, "energy_ratio", "carbon_ratio")
 
 
 def q_unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    comparison = settle(_comparison(spark, sf_dir), "comparison")
-    return plans.comparison_long(rounded_impact(comparison))
+    return plans.comparison_long(rounded_impact(_comparison(spark, sf_dir)))
 
 
 # ---- statistics ----------------------------------------------------------------------------------
@@ -701,7 +872,7 @@ def q_growth_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(((F.col("edition") - SPAN[0]) * 2).cast("long").alias("step"))
         .agg(F.max("o_totalprice").alias("rmax"))
     )
-    curves = growth_curves(settle(series, "growth"), "step", "rmax", start=2, a=2.0, b=0.25)
+    curves = growth_curves(series, "step", "rmax", start=2, a=2.0, b=0.25)
     return rounded(curves, 4, "doubling_4", "doubling_3", "exponential")
 
 

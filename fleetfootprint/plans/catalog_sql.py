@@ -205,6 +205,68 @@ estimates AS (
   GROUP BY name)"""
 
 
+LISTED = f"""{EDITIONS}, {CUSTOMERS},
+lead_parts AS (
+  SELECT l_orderkey AS o_orderkey, min(p_brand) AS p_brand, min(p_type) AS p_type
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 GROUP BY 1),
+ranked AS (
+  SELECT *, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS list_no,
+         row_number() OVER (PARTITION BY edition, o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM editions),
+listed AS (
+  SELECT o_orderkey, o_custkey AS entity_id, edition, CASE list_no WHEN 0 THEN 'Top500' ELSE 'Green500' END AS listing, rank,
+         o_totalprice AS metric, CAST(year(o_orderdate) AS DOUBLE) AS installation_year, c.country, nullif(c.segment, 'MACHINERY') AS segment,
+         CASE WHEN o_orderkey % 4 = 1 THEN upper(p_brand) WHEN o_orderkey % 4 > 1 THEN p_brand END AS processor,
+         CASE WHEN o_orderkey % 3 = 0 THEN p_type END AS accel_name, floor(o_totalprice) AS cores,
+         CASE WHEN o_orderkey % 3 = 0 AND p_type IS NOT NULL THEN floor(o_totalprice / 2) END AS accel_cores,
+         list_no * 1e9 + edition * 1e4 + rank AS seq
+  FROM ranked LEFT JOIN lead_parts USING (o_orderkey) JOIN customers c ON o_custkey = c_custkey WHERE rank <= 100),
+listed_history AS (
+  SELECT entity_id, max(edition) AS final_edition, count(DISTINCT edition) AS n_editions, count(*) AS n_appearances FROM listed GROUP BY 1),
+listed_limits AS (SELECT edition - 0.5 AS final_edition, metric AS threshold FROM listed WHERE listing = 'Top500' AND rank = 100),
+computers AS (
+  SELECT l.*, n_editions, n_appearances, final_edition, threshold, final_edition - installation_year AS lifespan,
+         CASE WHEN final_edition >= 2001.5 THEN 'Active' WHEN metric < threshold THEN 'Dropped' ELSE 'Removed' END AS exit_reason
+  FROM listed l JOIN listed_history USING (entity_id) LEFT JOIN listed_limits USING (final_edition))"""
+
+LABELLED = """
+SELECT o_orderkey, entity_id, edition, listing, rank, n_editions, n_appearances, final_edition, threshold, exit_reason,
+       installation_year, lifespan, coalesce(segment, 'Unknown') AS segment, metric FROM computers"""
+
+
+def _carried(column: str) -> str:
+    """Forward, then backward fill within a system."""
+    return f"""coalesce(
+    last_value({column} IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value({column} IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+  ) AS {column}"""
+
+
+def _with_chips(rows: str, missing: str) -> str:
+    return f"""
+named AS (SELECT {rows}.* EXCLUDE (processor, accel_name), {_carried("processor")}, {_carried("accel_name")} FROM {rows}),
+cpus AS (SELECT upper(p_brand) AS name, CAST(max(p_size) AS DOUBLE) AS cpu_tdp, max(p_size) * 2 AS cpu_num_cores FROM part GROUP BY 1),
+gpus AS (SELECT upper(p_type) AS name, max(p_size) * 10.0::DOUBLE AS gpu_tdp, max(p_size) * 100 AS n_shaders, max(p_size) AS n_sm
+         FROM part WHERE p_type <> '{missing}' GROUP BY 1),
+chips AS (
+  SELECT n.*, cpu_tdp, cpu_num_cores, gpu_tdp, n_shaders, n_sm, NULL::DOUBLE AS second_gpu_tdp
+  FROM named n LEFT JOIN cpus ON upper(processor) = cpus.name LEFT JOIN gpus ON upper(accel_name) = gpus.name)"""
+
+
+ZONES = """
+zone_readings AS (
+  SELECT n_name || '-' || (s_suppkey % 3) AS zone_key, n_name AS country, year(l_shipdate) AS year, month(l_shipdate) AS month,
+         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100.0) AS life_cycle,
+         CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100.0) AS direct
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL),
+zone_list AS (
+  SELECT n_name || '-' || (s_suppkey % 3) AS zone_key, min(s_suppkey) AS zone_order
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
+country_zones AS (
+  SELECT country, year, month, arg_min(life_cycle, zone_order) AS intensity_a, arg_min(direct, zone_order) AS intensity_a_direct,
+         avg(life_cycle) AS mean_a, avg(direct) AS mean_direct
+  FROM zone_readings JOIN zone_list USING (zone_key) GROUP BY ALL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     both = (*_ENERGY, *_CARBON)
     sql: dict[str, str] = {}
@@ -421,6 +483,42 @@ SELECT semester, year_month, {_rounded(both)}, {_TURNOVER} FROM all_series"""
     sql["q_carbon_series_b"] = f"""{BASE}, {series("all", "listing = 'F'", "intensity_b", "system")}
 SELECT semester, year_month, {_rounded(both)}, {_TURNOVER} FROM all_series"""
 
+    sql["q_impact_country"] = f"""{BASE}, {series("own", f"{IN_COUNTRY} AND {IN_SEGMENTS}")}
+SELECT semester, year_month, {_rounded(both)}, {_TURNOVER} FROM own_series"""
+
+    sql["q_computers"] = f"WITH {LISTED} {LABELLED} WHERE final_edition < 2001.5"
+    sql["q_exit_active"] = f"WITH {LISTED} {LABELLED}"
+    sql["q_chips"] = f"""WITH {LISTED}, {_with_chips("listed", "PROMO")}
+SELECT o_orderkey, entity_id, processor, accel_name, cpu_tdp, cpu_num_cores, gpu_tdp, n_shaders, n_sm, second_gpu_tdp FROM chips"""
+    sql["q_gpu_fill"] = f"""WITH {LISTED}
+SELECT o_orderkey, accel_name, CASE WHEN accel_name = 'ECONOMY' THEN 55.0::DOUBLE WHEN accel_name IS NOT NULL THEN 200.0::DOUBLE END AS gpu_tdp
+FROM listed"""
+    sql["q_country_intensity"] = f"""WITH {ZONES}
+SELECT country, year, month, {", ".join(f"round({c}, 6) AS {c}" for c in ("intensity_a", "intensity_a_direct", "mean_a", "mean_direct"))}
+FROM country_zones"""
+    sql["q_build_fleet"] = f"""WITH {LISTED}, {_with_chips("computers", "")}, {ZONES}, {INTENSITY.partition("provider_b AS")[1]}{INTENSITY.partition("provider_b AS")[2].partition("intensity AS")[0].rstrip().rstrip(",")}
+SELECT o_orderkey, entity_id, edition, final_edition, exit_reason, lifespan, processor, accel_name,
+       CASE WHEN cpu_units = 0 THEN 1 ELSE cpu_units END AS num_cpus,
+       CASE WHEN gpu_units = 0 AND gpu_tdp > 0 THEN 1 ELSE gpu_units END AS num_gpus,
+       coalesce(cpu_tdp, 200) AS cpu_tdp, gpu_tdp,
+       round(z.intensity_a, 6) AS intensity_a, round(z.intensity_a_direct, 6) AS intensity_a_direct, round(b.intensity_b, 6) AS intensity_b
+FROM (SELECT *, coalesce((cores - coalesce(accel_cores, 0)) / nullif(cpu_num_cores, 0), 0) AS cpu_units,
+             coalesce(coalesce(accel_cores, 0) / nullif(n_shaders, 0) * n_sm, 0) AS gpu_units FROM chips) c
+LEFT JOIN country_zones z ON c.country = z.country AND {DATE_OF.format(e="edition")} = make_date(z.year, z.month, 1)
+LEFT JOIN provider_b b ON c.country = b.country AND {DATE_OF.format(e="edition")} = make_date(b.year, b.month, 1)
+WHERE final_edition < 2001.5"""
+
+    sql["q_carbon_by_semester"] = f"""{BASE}, {series("all")},
+homes AS (SELECT DISTINCT entity_id, country FROM fleet),
+each AS (
+  SELECT r.*, coalesce(i.intensity_a, 0) AS now FROM all_rows r JOIN homes h USING (entity_id)
+  LEFT JOIN intensity i ON h.country = i.country AND {DATE_OF.format(e="semester")} = make_date(i.year, i.month, 1)),
+carbon AS (
+  SELECT semester, sum(cpu_gwh * now) AS cpu_carbon_t, sum(gpu_gwh * now) AS gpu_carbon_t, sum(total_gwh * now) AS total_carbon_t
+  FROM each GROUP BY semester)
+SELECT s.semester, year_month, {_rounded(_ENERGY)}, {", ".join(f"round(c.{x}, 4) AS {x}" for x in _CARBON)}, {_TURNOVER}
+FROM all_series s JOIN carbon c USING (semester)"""
+
     sql["q_churn"] = f"""{BASE}, {series("all")}
 SELECT semester, systems_added, systems_removed, active_systems FROM all_series"""
 
@@ -475,4 +573,6 @@ WITH top AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_
 SELECT CAST(o_orderkey AS BIGINT) AS row_id, 'o_orderkey' AS column_name, CAST(o_orderkey AS VARCHAR) AS value FROM top
 UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM top
 UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus FROM top"""
+    sql["q_exit_reason_hot"] = sql["q_exit_reason"]
+    sql["q_group_fill_hot"] = sql["q_group_fill"]
     return sql

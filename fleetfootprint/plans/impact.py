@@ -6,49 +6,59 @@ cpu_tdp, gpu_tdp, num_cpus, num_gpus, intensity_a, intensity_b.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetfootprint.operators.expansion import impact_series
 from fleetfootprint.operators.fill import first_known, first_value
+from fleetfootprint.operators.intensity import with_intensity
 from fleetfootprint.operators.lifecycle import exit_label
 from fleetfootprint.operators.reshape import metrics_to_long, union_all
-from fleetfootprint.operators.slicing import count_countries, slice_condition
+from fleetfootprint.operators.slicing import slice_condition
 from fleetfootprint.schemas import MAX_EDITION, ImpactParams
+from fleetfootprint.session import settle
 
 CARRIED = ("cpu_tdp", "gpu_tdp", "num_cpus", "num_gpus")
 ENERGY_AND_CARBON = ("cpu_gwh", "gpu_gwh", "total_gwh", "cpu_carbon_t", "gpu_carbon_t", "total_carbon_t")
 
 
-def entities_by_scope(
-    fleet: DataFrame,
-    thresholds: DataFrame,
-    scopes: dict[str, Column],
-    intensity: str,
-    max_edition: float = MAX_EDITION,
+def systems_by_scope(
+    fleet: DataFrame, scopes: dict[str, Column], intensity: str, countries: bool = False, more: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per scope and system of that scope: first known value of each input, lifespan, exit reason.
+    """One row per system: final edition and, per scope, the first known value of each input within the scope.
 
-    Lifespans come from all rows of a system, the other values from its rows inside the scope. All
-    scopes share one scan and one shuffle, and the aggregate combines before it.
+    Lifespans come from all rows of a system, the other values from its rows inside the scope. All scopes share one
+    scan and one shuffle, and the aggregate combines before it. ``countries`` adds the countries a system was listed in.
     """
     order = F.col("row_seq")
-    aggregates = [F.max("edition").alias("final_edition")]
+    # a fleet as built knows every system's final edition, so it is right on any of its rows
+    final = "final_edition" if "final_edition" in fleet.columns else "edition"
+    aggregates = [F.max(final).alias("final_edition")]
+    if countries:
+        aggregates += [F.collect_set("country").alias("countries"), F.bool_or(F.col("country").isNull()).alias("no_country")]
     for name, inside in scopes.items():
         aggregates.append(F.min(F.when(inside, order)).alias(f"{name}__seen"))
         aggregates.append(first_value(F.col("metric"), order, inside).alias(f"{name}__metric"))
-        for c in ("installation_year", *CARRIED, intensity):
+        for c in ("installation_year", *CARRIED, intensity, *more):
             aggregates.append(first_known(F.col(c), order, inside).alias(f"{name}__{c}"))
-    columns = ("seen", "metric", "installation_year", *CARRIED, intensity)
+    return fleet.groupBy("entity_id").agg(*aggregates)
+
+
+def with_lifecycle(
+    systems: DataFrame,
+    thresholds: DataFrame,
+    scopes: dict[str, Column],
+    intensity: str,
+    max_edition: float = MAX_EDITION,
+    more: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per scope and system of that scope, with lifespan and exit reason, from ``systems_by_scope``."""
+    columns = ("seen", "metric", "installation_year", *CARRIED, intensity, *more)
     per_scope = [
         F.struct(F.lit(name).alias("scope"), *[F.col(f"{name}__{c}").alias(c) for c in columns]) for name in scopes
     ]
     per_system = (
-        fleet.groupBy("entity_id")
-        .agg(*aggregates)
-        .filter(F.col("final_edition") < max_edition)
+        systems.filter(F.col("final_edition") < max_edition)
         .select("entity_id", "final_edition", F.inline(F.array(*per_scope)))
         .filter(F.col("seen").isNotNull())
     )
@@ -64,10 +74,25 @@ def entities_by_scope(
     )
 
 
+def sliced(fleet: DataFrame, params: ImpactParams) -> DataFrame:
+    """Rows of ``fleet`` that the slice's systems need.
+
+    Where the fleet carries the final edition of each system (as built), the slice itself reaches the scan and
+    prunes partitions. A bare edition table needs all rows of the slice's systems: a semi-join on their ids.
+    """
+    if params.country is None and params.segments is None and params.listing is None:
+        return fleet
+    inside = fleet.filter(slice_condition(params))
+    if "final_edition" in fleet.columns:
+        return inside
+    return fleet.join(inside.select("entity_id").distinct(), "entity_id", "left_semi")
+
+
 def entities(fleet: DataFrame, thresholds: DataFrame, params: ImpactParams, max_edition: float = MAX_EDITION) -> DataFrame:
     """Systems of one slice."""
     scope = {"slice": slice_condition(params)}
-    return entities_by_scope(fleet, thresholds, scope, params.intensity_column, max_edition).drop("scope")
+    systems = systems_by_scope(sliced(fleet, params), scope, params.intensity_column)
+    return with_lifecycle(systems, thresholds, scope, params.intensity_column, max_edition).drop("scope")
 
 
 def impact(fleet: DataFrame, thresholds: DataFrame, params: ImpactParams, max_edition: float = MAX_EDITION) -> DataFrame:
@@ -75,12 +100,46 @@ def impact(fleet: DataFrame, thresholds: DataFrame, params: ImpactParams, max_ed
     return impact_series(entities(fleet, thresholds, params, max_edition), params)
 
 
+def impact_by_semester(
+    fleet: DataFrame, thresholds: DataFrame, monthly: DataFrame, params: ImpactParams, max_edition: float = MAX_EDITION
+) -> DataFrame:
+    """``impact`` with each semester's own intensity (``monthly``) in place of one per system for its whole life.
+
+    Energy is linear in the systems of a country, so the intensity joins a row per country and semester.
+    """
+    scope, column = {"slice": slice_condition(params)}, params.intensity_column
+    systems = systems_by_scope(sliced(fleet, params), scope, column, more=("country",))
+    systems = with_lifecycle(systems, thresholds, scope, column, max_edition, ("country",))
+    per_country = with_intensity(impact_series(systems, params, by=["country"]), monthly, "country", "year_month", [column])
+    value = F.coalesce(column, F.lit(0.0))
+    energy, counts = ("cpu_gwh", "gpu_gwh", "total_gwh"), ("systems_added", "systems_removed", "active_systems", "total_systems")
+    return per_country.groupBy("semester", "year_month").agg(
+        *[F.sum(c).alias(c) for c in energy],
+        *[F.sum(F.col(c) * value).alias(c.replace("_gwh", "_carbon_t")) for c in energy],
+        *[F.sum(c).alias(c) for c in counts],
+    )
+
+
+def _one_pass(
+    fleet: DataFrame, thresholds: DataFrame, params: ImpactParams, scopes: dict[str, Column], max_edition: float
+) -> tuple[DataFrame, Column]:
+    """Series by scope and the number of distinct countries of the unfiltered table (a missing one counts as one).
+
+    Both come from the rows per system, which are written once: the fleet is read a single time.
+    """
+    systems = settle(systems_by_scope(fleet, scopes, params.intensity_column, countries=True), "systems")
+    named = systems.select(F.explode("countries").alias("country")).distinct().agg(F.count(F.lit(1))).scalar()
+    unnamed = systems.agg(F.coalesce(F.bool_or("no_country").cast("int"), F.lit(0))).scalar()
+    series = impact_series(with_lifecycle(systems, thresholds, scopes, params.intensity_column, max_edition), params, by=["scope"])
+    return series, named + unnamed
+
+
 def fleet_average(
     fleet: DataFrame, thresholds: DataFrame, params: ImpactParams, max_edition: float = MAX_EDITION
 ) -> DataFrame:
     """Series of all countries divided by the number of distinct countries of the unfiltered table."""
-    series = impact(fleet, thresholds, replace(params, country=None), max_edition)
-    n = count_countries(fleet).scalar()
+    scopes = {"fleet": slice_condition(params, with_country=False)}
+    series, n = _one_pass(fleet, thresholds, params, scopes, max_edition)
     return series.select("semester", "year_month", *[(F.col(c) / n).alias(c) for c in ENERGY_AND_CARBON])
 
 
@@ -92,9 +151,7 @@ def entity_vs_fleet(
         "entity": slice_condition(params),
         "fleet": slice_condition(params, with_country=False),
     }
-    systems = entities_by_scope(fleet, thresholds, scopes, params.intensity_column, max_edition)
-    series = impact_series(systems, params, by=["scope"])
-    n = count_countries(fleet).scalar()
+    series, n = _one_pass(fleet, thresholds, params, scopes, max_edition)
     mine = F.col("scope") == "entity"
     paired = series.groupBy("semester", "year_month").agg(
         *[F.max(F.when(mine, F.col(c))).alias(c) for c in ENERGY_AND_CARBON],

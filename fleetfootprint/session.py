@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings the plans are written for; all of them are safe to override.
+# Settings of a session built here; a session built elsewhere is left as it is, and results do not depend on them.
 SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -22,19 +25,6 @@ SESSION_CONF = {
 }
 
 
-_TUNED: weakref.WeakSet[SparkSession] = weakref.WeakSet()
-
-
-def tune(spark: SparkSession) -> None:
-    """Apply the runtime settings, once, to a session built elsewhere."""
-    if spark in _TUNED:
-        return
-    _TUNED.add(spark)
-    for key, value in SESSION_CONF.items():
-        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
-            spark.conf.set(key, value)
-
-
 def get_session(master: str | None = None, app: str = "fleetfootprint", **conf: str) -> SparkSession:
     """Build (or reuse) a session; ``master`` is left to spark-submit when not given."""
     builder = SparkSession.builder.appName(app)
@@ -48,19 +38,55 @@ def get_session(master: str | None = None, app: str = "fleetfootprint", **conf:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder; a cluster without the setting is an error.
+    Only a local master may fall back to a temporary folder, which goes when Python ends; a cluster without the
+    setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="fleetfootprint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/fleetfootprint/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/fleetfootprint/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.append(path)
+    return path
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was settled inside: for work whose result has been written by then."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete everything this application has settled; results that read it must be written before."""
+    _delete(spark, own_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
 
 
 def settle(df: DataFrame, label: str = "table") -> DataFrame:
@@ -68,6 +94,8 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
 
     The result has no lineage to recompute after an executor is lost, later branches all see the same
     rows, and Catalyst knows its true size, so a join with it broadcasts only when it really is small.
+    The files stay until ``cleanup`` or the end of a surrounding ``scratch``, for Spark reads them when the result
+    is used, which may be any time later.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)

@@ -7,6 +7,7 @@ from check_catalog import compare, connect
 
 import __spark_entry__ as entry
 from fleetfootprint.plans import catalog, catalog_sql
+from fleetfootprint.session import own_folder, scratch
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = catalog.queries(), catalog_sql.oracle_sql()
@@ -63,3 +64,43 @@ def test_top_n_is_cut_before_the_shuffle(spark):
 def test_flagship(spark):
     result = entry.entry(spark)
     assert result.count() == 14 and "total_carbon_t" in result.columns
+
+
+def test_country_prunes_partitions_of_a_stored_fleet(spark):
+    plan = plan_of(QUERIES["q_impact_country"](spark, SF_DIR))
+    filters = [line for line in plan.split("FileScan") if "PartitionFilters" in line]
+    assert any("(country#" in f.split("PartitionFilters")[1][:120] and "NATION_3" in f.split("PartitionFilters")[1][:160] for f in filters)
+
+
+def test_bare_edition_table_is_cut_to_the_systems_of_the_slice(spark):
+    rows = catalog.fleet(spark, SF_DIR, with_carbon=False)
+    plan = plan_of(catalog.plans.impact(rows, catalog.thresholds(spark, SF_DIR), catalog.COUNTRY_SLICE, catalog.MAX_EDITION))
+    assert "LeftSemi" in plan
+
+
+@pytest.mark.parametrize("name", ["q_fleet_average", "q_entity_vs_fleet", "q_kpi_summary", "q_unpivot_long"])
+def test_fleet_is_read_once(spark, name):
+    """What is left to do reads the rows per system, not the fleet."""
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
+    assert "orders.parquet" not in plan and "customer.parquet" not in plan
+
+
+def test_country_is_chosen_before_the_first_aggregate(spark):
+    plan = plan_of(QUERIES["q_yearly_compare"](spark, SF_DIR))
+    assert plan.count("LeftSemi") >= 2 and "GreaterThanOrEqual(l_shipdate" in plan and "GreaterThanOrEqual(o_orderdate" in plan
+
+
+def test_queries_leave_the_session_alone(spark):
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    QUERIES["q_carbon_series"](spark, SF_DIR).collect()
+    assert before == {k: spark.conf.get(k, None) for k in before}
+
+
+@pytest.mark.parametrize("name", ["q_carbon_series", "q_spec_fill", "q_build_fleet"])
+def test_scratch_leaves_no_files(spark, name):
+    folder = own_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with scratch(spark):
+        assert QUERIES[name](spark, SF_DIR).collect()
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
