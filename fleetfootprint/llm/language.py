@@ -1,7 +1,7 @@
 """Language identification by nearest centroid: TF-IDF vectors of hashed letter n-grams, several centroids a language.
 
-The classifier is fitted on a bounded sample of labelled documents (``TRAIN_ROWS`` in all, shared evenly by the
-languages and chosen by a hash of the id): inverse document frequencies, then spherical k-means within each language.
+The classifier is fitted on a bounded sample of labelled documents (about ``TRAIN_ROWS`` in all, shared evenly by
+the languages and chosen by a hash of the id): inverse document frequencies, then spherical k-means within each language.
 A document's whole text is compared with all centroids by cosine; its language is that of the nearest one. It is
 rejected when even the nearest is further away than nearly all training documents of that language were.
 
@@ -12,12 +12,13 @@ code point; rows that repeat are predicted each by itself; an empty table gives
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 4096
@@ -27,6 +28,7 @@ TRAIN_ROWS = 4_000
 STEPS = 12
 REJECT_SHARE = 0.5
 CHUNK = 1 << 20
+PLACES = 1 << 30
 UNKNOWN = "und"
 
 _LETTER: np.ndarray | None = None
@@ -104,30 +106,32 @@ def _spherical_means(rows: np.ndarray, clusters: int, steps: int) -> np.ndarray:
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, clusters: int = CLUSTERS, dimensions: int = DIMENSIONS) -> Model:
     """Model from ``labelled`` (doc_id, text, lang): at most ``train_rows`` documents, as many of each language."""
     known = labelled.filter("lang is not null and text is not null")
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    if not langs:
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not sizes:
         return Model(np.ones(dimensions), np.zeros((0, dimensions), np.float32), np.array([]), {})
-    place = F.xxhash64("doc_id", F.lit(3))
-    first = Window.partitionBy("lang").orderBy(place, "doc_id")
-    each = max(1, train_rows // len(langs))
-    # ids first: the rank limit works in every task, and only the chosen rows' texts are read in full
-    ids = known.select("lang", "doc_id", F.row_number().over(first).alias("n")).filter(F.col("n") <= each).select("lang", "doc_id").distinct()
-    sample = known.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "doc_id", "text")
+    # a share of each language's documents by the hash of the id: no rank, no sort, one scan
+    each = max(1, train_rows // len(sizes))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(PLACES))
+    chosen = F.lit(False)
+    for lang, size in sizes.items():
+        chosen = chosen | ((F.col("lang") == lang) & (place < min(PLACES, int(PLACES * 1.1 * each / size) + 1)))
+    sample = known.filter(chosen).select("lang", "doc_id", "text").dropDuplicates(["lang", "doc_id"])
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             counts = [gram_counts(t, dimensions) for t in frame["text"]]
             good = [c is not None for c in counts]
-            packed = [c.astype("<i4").tobytes() for c in counts if c is not None]
+            packed = [zlib.compress(c.astype("<i4").tobytes(), 1) for c in counts if c is not None]
             yield pd.DataFrame({"lang": frame["lang"][good], "doc_id": frame["doc_id"][good], "counts": packed})
 
     got = sample.mapInPandas(grams, "lang string, doc_id long, counts binary").toPandas()
     got = got.sort_values(["lang", "doc_id"], ignore_index=True).groupby("lang").head(each)
     if got.empty:
         return Model(np.ones(dimensions), np.zeros((0, dimensions), np.float32), np.array([]), {})
-    counts = np.frombuffer(b"".join(got["counts"]), dtype="<i4").reshape(-1, dimensions)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    rows = (np.log1p(counts) * idf).astype(np.float32)
+    rows = np.stack([np.frombuffer(zlib.decompress(c), dtype="<i4").astype(np.float32) for c in got["counts"]])
+    idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1
+    np.log1p(rows, out=rows)
+    rows *= idf.astype(np.float32)
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
     centroids, names, accept = [], [], {}
     for lang in sorted(got["lang"].unique()):
