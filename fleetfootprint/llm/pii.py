@@ -25,11 +25,14 @@ BONUS = 0.3
 
 @dataclass(frozen=True)
 class Kind:
-    """``pattern`` proposes, ``valid`` confirms; ``hint`` is a plain string that every match holds."""
+    """``pattern`` proposes; ``valid`` confirms from the match and the characters before and after it ("" at the ends).
+
+    ``hint`` is a plain string that every match holds.
+    """
 
     name: str
     pattern: str
-    valid: Callable[[Column], Column] | None
+    valid: Callable[[Column, Column, Column], Column] | None
     context: str
     score: float
     base: bool = True
@@ -69,13 +72,13 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", None, "mail|contact|write|reach", 0.8, hint="@"),
-    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$"), "ip|address|host|server|from", 0.6, hint="."),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda m: F.length(digits(m)).between(14, 19) & luhn(digits(m)), "card|visa|credit|pay|account", 0.7),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(digits(m)).between(10, 15), "tel|phone|call|mobile|fax", 0.6, hint="+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97, "iban|bank|account|konto|compte|cuenta", 0.9, base=False),
-    Kind("tel", r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])", None, "tel|phone|call|mobile|fax", 0.6, base=False, hint="+"),
-    Kind("pan", r"(?<![0-9])(?:[0-9]{4}(?:[\x20-]?[0-9]{4}){3}|3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5})(?![0-9])", lambda m: luhn(digits(m)), "card|visa|credit|pay|account", 0.7, base=False),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), "ssn|social|security|sozial|seguridad", 0.3, base=False),
+    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m, before, after: m.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$"), "ip|address|host|server|from", 0.6, hint="."),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda m, before, after: F.length(digits(m)).between(14, 19) & luhn(digits(m)), "card|visa|credit|pay|account", 0.7),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m, before, after: F.length(digits(m)).between(10, 15), "tel|phone|call|mobile|fax", 0.6, hint="+"),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", lambda m, before, after: ~before.rlike("[A-Za-z0-9]") & ~after.rlike("[A-Za-z0-9]") & mod97(m), "iban|bank|account|konto|compte|cuenta", 0.9, base=False),
+    Kind("tel", r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}", lambda m, before, after: ~after.rlike("[0-9]"), "tel|phone|call|mobile|fax", 0.6, base=False, hint="+"),
+    Kind("pan", r"[0-9]{4}(?:[\x20-]?[0-9]{4}){3}|3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}", lambda m, before, after: ~before.rlike("[0-9]") & ~after.rlike("[0-9]") & luhn(digits(m)), "card|visa|credit|pay|account", 0.7, base=False),
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda m, before, after: ~before.rlike("[0-9-]") & ~after.rlike("[0-9-]") & ~m.rlike("^(?:000|666|9)|-00-|-0000$"), "ssn|social|security|sozial|seguridad", 0.3, base=False),
 )
 
 
@@ -107,7 +110,12 @@ def spans_of(text: Column, kind: Kind, order: int) -> Column:
         ),
         lambda state: state["out"],
     )
-    valid = F.filter(placed, lambda x: kind.valid(x["match"])) if kind.valid else placed
+
+    def confirmed(x: Column) -> Column:
+        before = F.when(x["start"] > 0, F.substring(text, x["start"], F.lit(1))).otherwise("")
+        return kind.valid(x["match"], before, F.substring(text, x["end"] + 1, F.lit(1)))
+
+    valid = F.filter(placed, confirmed) if kind.valid else placed
 
     def scored(x: Column) -> Column:
         before = F.least(x["start"], F.lit(CONTEXT_CHARS))

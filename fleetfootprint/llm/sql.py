@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetfootprint.llm import rules
+from fleetfootprint.llm import pii, rules
 
 OP1 = r"""
 WITH sized AS (
@@ -94,4 +94,67 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = c
 FROM embeddings JOIN components USING (vec_id) LEFT JOIN counts USING (vec_id)
 """
 
-ORACLE = {"op4_vector_neighbours": OP4, "op1_source_mix": OP1, "op6_quality_rules": OP6}
+# the patterns as the contract states them; possessive repeats and guards are a matter of speed
+PROPOSALS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+} | {kind.name: kind.pattern for kind in pii.KINDS if not kind.base}
+HITS = " UNION ALL ".join(
+    f"""SELECT row, text, {i} AS kind_no, '{kind.name}' AS kind, {kind.base} AS base, {kind.score}::DOUBLE AS score, '{kind.context}' AS context,
+      regexp_extract_all(text, '{PROPOSALS[kind.name]}') AS m, string_split_regex(text, '{PROPOSALS[kind.name]}') AS g FROM texts"""
+    for i, kind in enumerate(pii.KINDS)
+)
+
+OP8 = rf"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+hits AS ({HITS}),
+placed AS (
+  SELECT * EXCLUDE (m, g), m[i] AS match,
+         (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start_at
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hits)
+), detailed AS (
+  SELECT *, start_at + length(match) AS end_at, regexp_replace(match, '[^0-9]', '', 'g') AS digits,
+         CASE WHEN start_at > 0 THEN substr(text, start_at, 1) ELSE '' END AS before, substr(text, start_at + length(match) + 1, 1) AS after,
+         replace(match, ' ', '') AS account
+  FROM placed
+), checked AS (
+  SELECT *,
+    list_sum(list_transform(range(1, length(digits) + 1), lambda k:
+      CASE WHEN k % 2 = 1 THEN substr(digits, -k, 1)::INT
+           ELSE substr(digits, -k, 1)::INT * 2 - CASE WHEN substr(digits, -k, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0 AS luhn,
+    kind = 'iban' AND list_reduce(
+      list_transform(string_split(substr(account, 5) || substr(account, 1, 4), ''),
+        lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END),
+      lambda rest, n: (rest * CASE WHEN n > 9 THEN 100 ELSE 10 END + n) % 97) = 1 AS mod97
+  FROM detailed
+), valid AS (
+  SELECT *, score + CASE WHEN regexp_matches(lower(substr(text, greatest(start_at - 40, 0) + 1, least(start_at, 40))), context) THEN 0.3 ELSE 0 END AS total
+  FROM checked
+  WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(match, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND luhn
+    WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+    WHEN 'iban' THEN NOT regexp_matches(before || after, '[A-Za-z0-9]') AND mod97
+    WHEN 'tel' THEN NOT regexp_matches(after, '[0-9]')
+    WHEN 'pan' THEN NOT regexp_matches(before || after, '[0-9]') AND luhn
+    ELSE NOT regexp_matches(before || after, '[0-9-]') AND NOT regexp_matches(match, '^(?:000|666|9)|-00-|-0000$') END
+), kept AS (
+  SELECT * FROM valid v
+  WHERE base OR total >= 0.5 AND NOT EXISTS (
+    FROM valid b WHERE b.base AND b.row = v.row AND b.start_at <= v.start_at AND b.end_at >= v.end_at)
+), written AS (
+  SELECT row, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+         count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+         string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, kind_no) FILTER (base) AS base_spans,
+         string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, kind_no) AS spans
+  FROM kept GROUP BY row
+)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card,
+       coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN written USING (row)
+"""
+
+ORACLE = {"op8_personal_data": OP8, "op4_vector_neighbours": OP4, "op1_source_mix": OP1, "op6_quality_rules": OP6}
