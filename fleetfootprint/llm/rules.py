@@ -44,7 +44,7 @@ RULES = (
     Rule("symbols_per_word", "n_symbols", "n_words", high=0.25),
     Rule("stop_words", "n_stop_words", "n_words", low=0.02),
     Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.4),
-    Rule("repeated_words", "n_repeat_words", "n_words", high=0.3),
+    Rule("repeated_words", "n_repeat_words", "n_words", high=0.5),
     Rule("capitals", "n_capitals", "word_chars", high=0.4),
 )
 

@@ -74,7 +74,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
          AND word_chars::DOUBLE / n_words BETWEEN 2 AND 15 AND n_symbols::DOUBLE / n_words <= 0.25
          AND n_stop_words::DOUBLE / n_words >= 0.02 AND n_dup_lines::DOUBLE / n_lines <= 0.4
-         AND n_repeat_words::DOUBLE / n_words <= 0.3 AND n_capitals::DOUBLE / word_chars <= 0.4 AS kept
+         AND n_repeat_words::DOUBLE / n_words <= 0.5 AND n_capitals::DOUBLE / word_chars <= 0.4 AS kept
 FROM measured
 """
 
