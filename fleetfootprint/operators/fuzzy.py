@@ -59,6 +59,13 @@ def fuzzy_candidates(
     return blocks.withColumn("_best", best).filter(F.col("score") >= cut).drop("_best")
 
 
+def estimate_sources(candidates: DataFrame, specs: DataFrame, value: str, exponent: int = FUZZY_EXPONENT) -> DataFrame:
+    """The candidates an estimate is drawn from, one row each: name, spec_name, ``value`` and its weight (score/100)^exponent."""
+    known = candidates.join(specs.select("spec_name", value), "spec_name")
+    known = known.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return known.select("name", "spec_name", value, (F.pow(F.col("score") / 100, F.lit(exponent)) * 100).alias("weight"))
+
+
 def weighted_estimates(
     candidates: DataFrame,
     specs: DataFrame,
@@ -66,24 +73,16 @@ def weighted_estimates(
     exponent: int = FUZZY_EXPONENT,
     default: float = DEFAULT_TDP,
 ) -> DataFrame:
-    """Estimate per name: mean of the candidates' values weighted by (score/100)^exponent, to one decimal,
-    with the candidates used; ``default`` where no candidate has a value.
+    """Estimate per name: weighted mean of its sources' values, to one decimal, and their number.
 
-    A name has at most as many candidates as there are specs.
+    ``default`` where no candidate has a value. Only sums are kept per name, so a name may have any number of sources.
     """
-    weight = F.pow(F.col("score") / 100, F.lit(exponent)) * 100
     usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    known = (
-        candidates.join(specs.select("spec_name", value), "spec_name")
-        .withColumn("_w", F.when(usable, weight))
-        .withColumn("_v", F.when(usable, F.col(value)))
-    )
-    source = F.when(F.col("_w").isNotNull(), F.struct("spec_name", F.round("_w").cast("int").alias("weight")))
+    weight = F.when(usable, F.pow(F.col("score") / 100, F.lit(exponent)) * 100)
+    known = candidates.join(specs.select("spec_name", value), "spec_name").withColumn("_w", weight)
+    mean = F.try_divide(F.sum(F.when(usable, F.col("_w") * F.col(value))), F.sum("_w"))
     return known.groupBy("name").agg(
-        F.coalesce(
-            F.round(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")), 1), F.lit(float(default))
-        ).alias("estimate"),
-        F.array_sort(F.collect_list(source)).alias("sources"),
+        F.coalesce(F.round(mean, 1), F.lit(float(default))).alias("estimate"), F.count("_w").alias("n_sources")
     )
 
 

@@ -31,7 +31,7 @@ from fleetfootprint.functions.power import (
 from fleetfootprint.functions.text import entity_key, normal_country, null_if, unknown_if_missing
 from fleetfootprint.operators.expansion import churn, expand_semesters
 from fleetfootprint.operators.fill import first_non_null, group_fill
-from fleetfootprint.operators.fuzzy import best_match, fuzzy_candidates, weighted_estimates
+from fleetfootprint.operators.fuzzy import best_match, estimate_sources, fuzzy_candidates, weighted_estimates
 from fleetfootprint.operators.intensity import compare_providers, with_intensity, yearly_means
 from fleetfootprint.operators.lifecycle import (
     presence_history,
@@ -685,11 +685,12 @@ def q_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_spec_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = weighted_estimates(_candidates(spark, sf_dir), _spec_sheet(spark, sf_dir), "tdp")
-    source = F.transform(
-        "sources", lambda s: F.concat(s.getField("spec_name"), F.lit(":"), s.getField("weight").cast("string"))
-    )
-    return found.select("name", "estimate", F.array_join(source, ";").alias("sources"))
+    return weighted_estimates(_candidates(spark, sf_dir), _spec_sheet(spark, sf_dir), "tdp")
+
+
+def q_estimate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = estimate_sources(_candidates(spark, sf_dir), _spec_sheet(spark, sf_dir), "tdp")
+    return found.select("name", "spec_name", "tdp", F.round("weight").cast("int").alias("weight"))
 
 
 def _line_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ candidates AS (
 ESTIMATES = f"""{CANDIDATES},
 estimates AS (
   SELECT name, round(sum(w * tdp) / sum(w), 1) AS estimate,
-         string_agg(spec_name || ':' || CAST(round(w) AS INTEGER), ';' ORDER BY spec_name) AS sources
+         count(*) AS n_sources
   FROM (SELECT *, power(score / 100, 8) * 100 AS w FROM candidates JOIN specs USING (spec_name))
   GROUP BY name)"""
 
@@ -410,7 +410,9 @@ LEFT JOIN specs ON lower(processor) = lower(spec_name)"""
     sql["q_best_match"] = f"""{CANDIDATES}
 SELECT name, min(spec_name) AS spec_name, round(max(score), 6) AS score
 FROM (SELECT *, max(score) OVER (PARTITION BY name) AS best FROM candidates) WHERE score = best GROUP BY name"""
-    sql["q_spec_estimate"] = f"{ESTIMATES} SELECT name, estimate, sources FROM estimates"
+    sql["q_spec_estimate"] = f"{ESTIMATES} SELECT name, estimate, n_sources FROM estimates"
+    sql["q_estimate_sources"] = f"""{CANDIDATES}
+SELECT name, spec_name, tdp, CAST(round(power(score / 100, 8) * 100) AS INTEGER) AS weight FROM candidates JOIN specs USING (spec_name)"""
     sql["q_spec_fill"] = f"""{ESTIMATES}
 SELECT p_partkey, processor, coalesce(s.tdp, estimate, 200.0) AS tdp
 FROM systems LEFT JOIN specs s ON lower(processor) = lower(spec_name) LEFT JOIN estimates ON processor = name"""

@@ -47,8 +47,14 @@ def zone_dimension(zones: DataFrame, order: str) -> DataFrame:
 
 
 def read_zone_list(spark: SparkSession, path: str) -> DataFrame:
+    """Zones in list order: by file, by place of the split in the file, and by row within the split."""
     rows = spark.read.schema(ZONE_LIST_SCHEMA).option("header", True).csv(path)
-    return zone_dimension(rows.withColumn("zone_order", F.monotonically_increasing_id()), "zone_order")
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return zone_dimension(rows.select("*", place.alias("zone_order")), "zone_order")
 
 
 def country_intensity(readings: DataFrame, zones: DataFrame, mean: bool = False) -> DataFrame:
