@@ -218,9 +218,11 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` per group of near-duplicates: that with the smallest id (null last; of equal ids, any one).
+    """One row of ``docs`` per group of near-duplicates: that with the smallest id (null last), then the smallest row hash.
 
-    Rows get a number as they are written, so that rows that repeat can be told apart.
+    Rows are told apart by their id and a hash of the whole row, so only these and the fingerprints are written in
+    between; texts move once, to meet the rows that stay. That join sorts both sides at every size. Rows that are the
+    same in every column count as one.
     """
 
     @F.pandas_udf("long")
@@ -228,14 +230,17 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id",
         for batch in texts:
             yield pd.Series(np.array([fingerprint(None if pd.isna(t) else t) for t in batch], dtype=np.uint64).view(np.int64))
 
-    rows = settle(
-        docs.select(F.struct(*docs.columns).alias("row"), code(F.col(text_col)).alias("fp"), F.monotonically_increasing_id().alias("number")),
-        "numbered",
-    )
-    # the id of a code is the order its best row stands in: ids first, null last, then the row's number
-    rank = F.struct(F.col(f"row.{id_col}").isNull().alias("none"), F.col(f"row.{id_col}").alias("id"), F.col("number"))
-    best = settle(rows.groupBy("fp").agg(F.min(rank).alias("best")), "best")
+    mark = F.xxhash64(*docs.columns)
+    slim = settle(docs.select(F.col(id_col).alias("id"), mark.alias("mark"), code(F.col(text_col)).alias("fp")), "marks")
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("mark"))
+    best = settle(slim.groupBy("fp").agg(F.min(rank).alias("best")), "best")
     joined = connected_components(forest(best.select("fp"), max_bits))
     placed = best.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    winners = settle(placed.groupBy("component").agg(F.min("best")["number"].alias("number")).select("number"), "winners")
-    return rows.join(winners, "number", "left_semi").select("row.*")
+    winners = settle(placed.groupBy("component").agg(F.min("best").alias("best")).select("best.id", "best.mark"), "winners")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), mark.alias("mark"))
+    same = (rows["mark"] == winners["mark"]) & rows["id"].eqNullSafe(winners["id"])
+    kept = rows.join(winners.hint("merge"), same, "left_semi")
+    twins = slim.groupBy("id", "mark").count().filter("count > 1")
+    if not twins.isEmpty():
+        kept = kept.dropDuplicates(["id", "mark"])
+    return kept.select("row.*")
