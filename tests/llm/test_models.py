@@ -140,6 +140,14 @@ def test_pages(spark):
     assert pages.extract(frame.limit(0)).count() == 0
 
 
+def test_attributes_are_read_as_attributes():
+    bad = ['class="ad"', "id='comments'", "class=cookie-notice", 'role="navigation"', "hidden", 'style="display: none"', 'class="site-footer x"']
+    good = ['href="/?id=ad&class=menu"', 'class="content has-sidebar"', 'data-class="ad"', 'class="type-post category-social"', 'title="a class=ad here"', ""]
+    assert all(pages.is_boilerplate("div", x) for x in bad) and not any(pages.is_boilerplate("div", x) for x in good)
+    page = '<div class="wrap with-ads"><article class="post has-comments"><p>See <a href="?id=share">this</a>, x < y</p></article></div>'
+    assert pages.blocks(page) == [("article", "See this, x < y")]
+
+
 def test_repeated_runs_by_brute_force():
     rng = random.Random(6)
     streams = [np.array([rng.randrange(4) for _ in range(rng.randrange(0, 60))], np.uint64) for _ in range(8)]
