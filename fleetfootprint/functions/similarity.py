@@ -39,17 +39,19 @@ def indel_ratio(distance: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 class Names:
-    """A block of names with everything that depends on one side only."""
+    """A block of names with everything that depends on one side only; ``vocabulary`` has the tokens of both sides."""
 
     def __init__(self, names: pd.Series, vocabulary: dict[str, int], alphabet: dict[str, int]):
         tokens = [n.split() for n in names]
         self.sorted_text = [" ".join(sorted(t)) for t in tokens]
         self.token_sets = [set(t) for t in tokens]
         self.length = np.array([len(t) for t in self.sorted_text])
+        self.count = np.array([len(t) for t in self.token_sets])
+        self.characters = np.array([sum(map(len, t)) for t in self.token_sets])
         self.members = np.zeros((len(tokens), len(vocabulary)), dtype=np.float32)
         self.letters = np.zeros((len(tokens), len(alphabet)), dtype=np.int16)
         for i, (text, parts) in enumerate(zip(self.sorted_text, self.token_sets)):
-            for token in parts:
+            for token in parts & vocabulary.keys():
                 self.members[i, vocabulary[token]] = 1
             for letter in text:
                 self.letters[i, alphabet[letter]] += 1
@@ -65,12 +67,12 @@ def block_candidates(names: pd.Series, specs: pd.Series, hit: float, relative: f
     Pairs are first bounded from above by what their letters and tokens allow; only those that can
     still reach the cut-off have their subsequence computed, so no reachable pair is lost.
     """
-    vocabulary = {t: i for i, t in enumerate(sorted({t for n in (*names, *specs) for t in n.split()}))}
+    # only tokens that both sides have can be common to a pair
+    shared_tokens = {t for n in names for t in n.split()} & {t for n in specs for t in n.split()}
+    vocabulary = {t: i for i, t in enumerate(sorted(shared_tokens))}
     alphabet = {c: i for i, c in enumerate(sorted({c for n in (*names, *specs) for c in n} | {" "}))}
     right = Names(specs, vocabulary, alphabet)
     token_length = np.array([len(t) for t in vocabulary], dtype=np.float32)
-    right_count = right.members.sum(1).astype(int)
-    right_chars = (right.members @ token_length).astype(int)
 
     frames = []
     step = max(1, 200_000 // max(len(specs), 1))
@@ -79,10 +81,10 @@ def block_candidates(names: pd.Series, specs: pd.Series, hit: float, relative: f
         left = Names(part, vocabulary, alphabet)
         common = (left.members @ right.members.T).astype(int)
         common_chars = ((left.members * token_length) @ right.members.T).astype(int)
-        left_only = left.members.sum(1).astype(int)[:, None] - common
-        right_only = right_count[None, :] - common
-        left_rest = _joined_length((left.members @ token_length).astype(int)[:, None] - common_chars, left_only)
-        right_rest = _joined_length(right_chars[None, :] - common_chars, right_only)
+        left_only = left.count[:, None] - common
+        right_only = right.count[None, :] - common
+        left_rest = _joined_length(left.characters[:, None] - common_chars, left_only)
+        right_rest = _joined_length(right.characters[None, :] - common_chars, right_only)
         shared = _joined_length(common_chars, common)
         gap = (common > 0).astype(int)
         left_full, right_full = shared + gap + left_rest, shared + gap + right_rest
