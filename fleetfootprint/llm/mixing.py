@@ -42,6 +42,7 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
     Sources by code point (null last) take the weights in turn and share all words; a target stops at
     ``max_repeats`` times the source's size and the excess is shared again by weight. With the sources ordered by
     their stop per weight, the final level is the largest of the levels that are left after each stopped prefix.
+    The windows run over one row per source, never over documents.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
@@ -160,10 +161,7 @@ def assign_positions(
 
 def training_order(assigned: DataFrame) -> DataFrame:
     """One row per occurrence, range-sorted by training position."""
-    return (
-        assigned.select("doc_id", "size", F.inline("occurrences"))
-        .orderBy("position", "doc_id", "epoch")
-    )
+    return assigned.select("doc_id", "size", F.inline("occurrences")).orderBy("position", "doc_id", "epoch")
 
 
 def first_words(text: Column, n: Column) -> Column:
