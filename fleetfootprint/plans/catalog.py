@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetfootprint.functions.calendar import (
@@ -239,8 +239,24 @@ def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- the same way as from files ------------------------------------------------------------------
 
 
-def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as ranking lists: open ones the performance list, the others the efficiency list, cut at LIST_RANKS."""
+def whole_ranks(rows: DataFrame, groups: list[str], amount: str, tie: str) -> DataFrame:
+    """Every row with its rank by falling ``amount``, then ``tie``: rows ahead in higher hundreds plus the place within its own.
+
+    The first window runs over one row per hundred, the second over the rows of one hundred, so no task ranks an edition.
+    """
+    cut = rows.withColumn("_hundred", F.coalesce(F.floor(F.col(amount) / 100), F.lit(-(2**62))))
+    ahead = Window.partitionBy(*groups).orderBy(F.desc("_hundred")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*groups, "_hundred").count().select(*groups, "_hundred", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(*groups, "_hundred").orderBy(F.desc(amount), tie)
+    placed = cut.withColumn("_place", F.row_number().over(inside)).join(starts, [*groups, "_hundred"])
+    return placed.withColumn("rank", F.col("_ahead") + F.col("_place")).drop("_hundred", "_ahead", "_place")
+
+
+def listed(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS) -> DataFrame:
+    """Orders as ranking lists: open ones the performance list, the others the efficiency list, cut at ``ranks``.
+
+    None keeps every order with its rank.
+    """
     lead = (
         table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -249,7 +265,11 @@ def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, brand = F.col("o_orderkey"), F.col("p_brand")
     is_open = F.col("o_orderstatus") == THRESHOLD_LISTING
     orders = editions(spark, sf_dir).withColumn("listing", F.when(is_open, PERFORMANCE_LISTING).otherwise(EFFICIENCY_LISTING))
-    top = top_per_edition(orders, ["edition", "listing"], [F.col("o_totalprice").desc(), key], LIST_RANKS)
+    groups = ["edition", "listing"]
+    if ranks is None:
+        top = whole_ranks(orders, groups, "o_totalprice", "o_orderkey")
+    else:
+        top = top_per_edition(orders, groups, [F.col("o_totalprice").desc(), key], ranks)
     rows = top.join(lead, "o_orderkey", "left").join(customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
     accel = F.when(key % 3 == 0, F.col("p_type"))
     return rows.select(
@@ -296,28 +316,29 @@ def _labelled(systems: DataFrame) -> DataFrame:
     )
 
 
-def q_computers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _labelled(fleet_plans.computers(listed(spark, sf_dir), "rmax", MAX_EDITION, last_rank=LIST_RANKS))
+def q_computers(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS) -> DataFrame:
+    return _labelled(fleet_plans.computers(listed(spark, sf_dir, ranks), "rmax", MAX_EDITION, last_rank=LIST_RANKS))
 
 
-def q_exit_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    systems = fleet_plans.computers(listed(spark, sf_dir), "rmax", MAX_EDITION, last_rank=LIST_RANKS, keep_active=True)
+def q_exit_active(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS) -> DataFrame:
+    systems = fleet_plans.computers(listed(spark, sf_dir, ranks), "rmax", MAX_EDITION, last_rank=LIST_RANKS, keep_active=True)
     return _labelled(systems)
 
 
 CHIP_COLUMNS = ("cpu_tdp", "cpu_num_cores", "gpu_tdp", "n_shaders", "n_sm", "second_gpu_tdp")
 
 
-def q_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = fleet_plans.chips(listed(spark, sf_dir), *chip_sheets(spark, sf_dir, missing="PROMO"))
+def q_chips(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS) -> DataFrame:
+    joined = fleet_plans.chips(listed(spark, sf_dir, ranks), *chip_sheets(spark, sf_dir, missing="PROMO"))
     return joined.select("o_orderkey", "entity_id", "processor", "accel_name", *CHIP_COLUMNS)
 
 
-def q_gpu_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accelerators without a power value: the default where one is present (no listed name is similar enough)."""
+def q_gpu_fill(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS, use_sheet: bool = False) -> DataFrame:
+    """Accelerators without a power value: estimated from the sheet with ``use_sheet``, else the default where one is present."""
     _, gpus = chip_sheets(spark, sf_dir)
-    parts = listed(spark, sf_dir).withColumn("gpu_tdp", F.when(F.col("accel_name") == "ECONOMY", F.lit(55.0)))
-    filled = fill_missing_tdp(parts, gpus.filter("gpu_model <> gpu_model"), "accel_name", "gpu_tdp", "gpu_model", "gpu_tdp", F.col("accel_present"))
+    sheet = gpus if use_sheet else gpus.filter("gpu_model <> gpu_model")
+    parts = listed(spark, sf_dir, ranks).withColumn("gpu_tdp", F.when(F.col("accel_name") == "ECONOMY", F.lit(55.0)))
+    filled = fill_missing_tdp(parts, sheet, "accel_name", "gpu_tdp", "gpu_model", "gpu_tdp", F.col("accel_present"))
     return filled.select("o_orderkey", "accel_name", "gpu_tdp")
 
 
@@ -349,10 +370,10 @@ def q_country_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both, 6, "intensity_a", "intensity_a_direct", "mean_a", "mean_direct").withColumns({c: F.col(c).cast("long") for c in ("year", "month")})
 
 
-def q_build_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_build_fleet(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS) -> DataFrame:
     cpus, gpus = chip_sheets(spark, sf_dir)
     monthly = fleet_plans.electricity(country_intensity(*zone_readings(spark, sf_dir)), provider_b(spark, sf_dir))
-    built = fleet_plans.build_fleet(listed(spark, sf_dir), cpus, gpus, monthly, "rmax", MAX_EDITION, LIST_RANKS)
+    built = fleet_plans.build_fleet(listed(spark, sf_dir, ranks), cpus, gpus, monthly, "rmax", MAX_EDITION, LIST_RANKS)
     chosen = built.select(
         "o_orderkey", "entity_id", "edition", "final_edition", "exit_reason", "lifespan", "processor", "accel_name", "num_cpus",
         "num_gpus", "cpu_tdp", "gpu_tdp", *fleet_plans.INTENSITIES,
