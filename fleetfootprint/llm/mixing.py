@@ -4,7 +4,7 @@ Every source has a weight schedule over training time 0..1. Its integral, scaled
 deliver, is the cumulative demand; the inverse of the demand turns the number of words of the source that came
 before a document into the document's training position. Documents are then range-sorted by position.
 
-Defined cases: a null or empty text has size 0 and takes nothing; a null source is a source of its own and comes
+Defined cases: a null or empty text has size 0 and takes nothing, also where its source has no other; a null source is a source of its own and comes
 last; rows that repeat (also with the same doc_id) count each by itself; an empty table gives an empty result;
 columns of the input other than those named are not looked at.
 """
@@ -141,7 +141,7 @@ def assign_positions(
 
     def occurrence(epoch: Column) -> Column:
         offset = start + epoch * F.col("source_size")
-        share = offset / F.col("target")
+        share = F.try_divide(offset, F.col("target"))
         position = F.lit(None).cast("double")
         for k, knots in enumerate(schedules):
             position = F.when(F.col("weight_class") % len(schedules) == k, inverse_demand(share, knots)).otherwise(position)
