@@ -157,7 +157,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows:
             i, j = i[ordered], j[ordered]
             for part in range(0, len(i), 200_000):
                 a, b = i[part : part + 200_000], j[part : part + 200_000]
-                first = np.ones(len(a), bool)
+                # exactly here, by the condition that later blocks use
+                first = ((mine[a] - mine[b]) ** 2).sum(axis=1) <= blocks.shares[block] * (1 + SLACK) + SLACK
                 for earlier in range(block):  # counted there
                     gap = ((parts[earlier][a] - parts[earlier][b]) ** 2).sum(axis=1)
                     first &= gap > blocks.shares[earlier] * (1 + SLACK) + SLACK
