@@ -4,8 +4,8 @@ A document is a bag of passages of ``PASSAGE_WORDS`` words. Every passage is enc
 characters and words; gated attention weighs the encodings (softmax of w . (tanh(V h) * sigmoid(U h))), and the weighed
 sum is scored by a logistic unit. All weights are learned together from the documents' labels.
 
-The model is fitted on at most ``TRAIN_ROWS`` labelled documents, chosen by a hash of the id, with at most
-``TRAIN_PASSAGES`` passages of each, spread evenly; scoring uses every passage of every text.
+The model is fitted on at most ``TRAIN_ROWS`` labelled documents, chosen by a hash of the id, with
+every passage of each; scoring uses every passage of every text.
 
 Defined cases: a null or empty text is one passage of zeros and gets a score like any other; rows with a null label are
 not learned from; with no labels of both kinds the score is the share of label 1 (0.5 without labels); rows that repeat
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 PASSAGE_WORDS = 100
 TRAIN_ROWS = 4_000
-TRAIN_PASSAGES = 64
 HIDDEN = 24
 ATTENTION = 12
 EPOCHS = 60
@@ -186,16 +185,18 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality of 0 or 1)."""
     ids = docs.select("doc_id").join(labels.filter("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
-    chosen = ids.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "quality").limit(train_rows).dropDuplicates(["doc_id"])
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    # one label and one text per id: the least, so a repeated id takes one place and brings one row to the driver
+    chosen = ids.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(train_rows)
+    texts = (
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
+    )
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             packed = []
             for text in frame["text"]:
                 rows = passages(text)
-                if len(rows) > TRAIN_PASSAGES:
-                    rows = rows[np.linspace(0, len(rows) - 1, TRAIN_PASSAGES).astype(int)]
                 packed.append(rows.astype("<f4").tobytes())
             yield pd.DataFrame({"doc_id": frame["doc_id"], "quality": frame["quality"], "packed": packed})
 
