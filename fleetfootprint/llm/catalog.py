@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetfootprint.llm import language, mixing, packing, pages, pii, quality, rules, simhash, sql, tokens, vectors
+from fleetfootprint.llm import language, mixing, packing, pages, pii, quality, rules, runs, sentencepieces, simhash, sql, tokens, vectors, whitening
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +70,45 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each text, a tenth of the texts with the periodic end that the contract plants, as digests."""
+    text = F.coalesce("text", F.lit(""))
+    docs = read(spark, sf_dir, "documents").select("doc_id", runs.with_planted_periods(text, F.col("doc_id")).alias("text"))
+    best = runs.longest(F.col("runs"))
+    found = runs.periodic_runs(docs).select("doc_id", "runs", "collapsed", best.alias("best"))
+    length = -F.col("best.shorter")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(length * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(runs.listing(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepieces.round_trip(read(spark, sf_dir, "documents"))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_source_mix, op2_quality_classifier, op3_token_counts, op4_vector_neighbours, op5_language, op6_quality_rules, op7_page_text, op8_personal_data, op9_packing, op10_simhash, pipeline)
+QUERIES = (op1_source_mix, op2_quality_classifier, op3_token_counts, op4_vector_neighbours, op5_language, op6_quality_rules, op7_page_text, op8_personal_data, op9_packing, op10_simhash, op11_periodic_runs, op12_whitening, op13_sentencepiece, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
