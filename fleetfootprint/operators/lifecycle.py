@@ -66,16 +66,36 @@ def rank_thresholds(ranked: DataFrame, rank: str, n: int, edition: str, metric:
     return settle(thresholds, "thresholds")
 
 
+def next_thresholds(moments: DataFrame, thresholds: DataFrame, moment: str = "final_edition") -> DataFrame:
+    """``moment`` and ``threshold``: for each of ``moments`` the threshold of the first list after it.
+
+    ``thresholds`` is keyed as ``rank_thresholds`` keys it, half a year before the list, so a list decides on what left at
+    its key or earlier, however large the gap to the list before. Moments without a later list have no threshold; a NULL moment has none.
+    Both sides are points in time of lists, made distinct before they meet, so the pass over time sees one row per moment and list, never a system.
+    """
+    asked = moments.select(F.col(moment).alias("_at")).filter(F.col("_at").isNotNull()).distinct()
+    rows = asked.withColumns({"threshold": F.lit(None).cast(dict(thresholds.dtypes)["threshold"]), "_is_list": F.lit(False)})
+    lists = thresholds.select(F.col("final_edition").alias("_at"), "threshold", F.lit(True).alias("_is_list"))
+    later = Window.partitionBy(F.lit(0)).orderBy(F.desc("_at"), F.desc("_is_list")).rowsBetween(Window.unboundedPreceding, 0)
+    # a list may have no threshold of its own, being shorter; it decides all the same, by having none
+    carried = F.last(F.when(F.col("_is_list"), F.struct("threshold")), ignorenulls=True).over(later)
+    found = rows.unionByName(lists).withColumn("_next", carried).filter(~F.col("_is_list"))
+    return found.select(F.col("_at").alias(moment), F.col("_next.threshold").alias("threshold"))
+
+
 def exit_label(metric: Column, threshold: Column) -> Column:
     """Overtaken by the next edition's n-th system, or taken off the list for another reason."""
     return F.when(metric < threshold, "Dropped").otherwise("Removed")
 
 
 def with_exit_reason(
-    present: DataFrame, thresholds: DataFrame, metric: str, max_edition: float, keep_active: bool = False
+    present: DataFrame, thresholds: DataFrame, metric: str, max_edition: float, keep_active: bool = False, as_of: bool = False
 ) -> DataFrame:
     """Label each row of a frame that carries ``final_edition``; systems still listed are left out
-    (or labelled ``Active``)."""
+    (or labelled ``Active``). With ``as_of`` the first list after a system's last one decides, also where editions are missing.
+    """
+    if as_of:
+        thresholds = settle(next_thresholds(present, thresholds), "next-thresholds")
     reason = exit_label(F.col(metric), F.col("threshold"))
     left = F.col("final_edition") < max_edition
     if keep_active:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetfootprint.functions.calendar import (
@@ -42,6 +42,7 @@ from fleetfootprint.operators.lifecycle import (
 )
 from fleetfootprint.operators.reshape import headers, preview_transposed, select_matching, union_all
 from fleetfootprint.operators.slicing import distinct_options, slice_fleet
+from fleetfootprint.operators.selection import nth_values, ranked
 from fleetfootprint.operators.skew import hot_keys
 from fleetfootprint.operators.specs import (
     fill_missing_tdp,
@@ -57,7 +58,7 @@ from fleetfootprint.plans.fleet import minimal_view
 from fleetfootprint.schemas import EFFICIENCY_LISTING, PERFORMANCE_LISTING, Era, ImpactParams
 from fleetfootprint.session import fresh_path, settle
 from fleetfootprint.sources.intensity import country_intensity, filter_long, zone_dimension
-from fleetfootprint.sources.lists import era_value
+from fleetfootprint.sources.lists import era_value, read_lists
 from fleetfootprint.sources.sinks import save_table
 
 # Parameters of the analogy.
@@ -66,7 +67,6 @@ MAX_EDITION = 2001.5
 LISTED = 500
 THRESHOLD_RANK = 100
 THRESHOLD_LISTING = "O"
-LIST_RANKS = 100
 COUNTRY = "NATION_3"
 BASE = ImpactParams(span=SPAN, time_after_drop=2.0)
 COUNTRY_SLICE = ImpactParams(
@@ -239,24 +239,8 @@ def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- the same way as from files ------------------------------------------------------------------
 
 
-def whole_ranks(rows: DataFrame, groups: list[str], amount: str, tie: str) -> DataFrame:
-    """Every row with its rank by falling ``amount``, then ``tie``: rows ahead in higher hundreds plus the place within its own.
-
-    The first window runs over one row per hundred, the second over the rows of one hundred, so no task ranks an edition.
-    """
-    cut = rows.withColumn("_hundred", F.coalesce(F.floor(F.col(amount) / 100), F.lit(-(2**62))))
-    ahead = Window.partitionBy(*groups).orderBy(F.desc("_hundred")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy(*groups, "_hundred").count().select(*groups, "_hundred", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy(*groups, "_hundred").orderBy(F.desc(amount), tie)
-    placed = cut.withColumn("_place", F.row_number().over(inside)).join(starts, [*groups, "_hundred"])
-    return placed.withColumn("rank", F.col("_ahead") + F.col("_place")).drop("_hundred", "_ahead", "_place")
-
-
-def listed(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS) -> DataFrame:
-    """Orders as ranking lists: open ones the performance list, the others the efficiency list, cut at ``ranks``.
-
-    None keeps every order with its rank.
-    """
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with its rank in a list: open ones make the performance list of their edition, the others the efficiency list."""
     lead = (
         table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -265,19 +249,15 @@ def listed(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS) ->
     key, brand = F.col("o_orderkey"), F.col("p_brand")
     is_open = F.col("o_orderstatus") == THRESHOLD_LISTING
     orders = editions(spark, sf_dir).withColumn("listing", F.when(is_open, PERFORMANCE_LISTING).otherwise(EFFICIENCY_LISTING))
-    groups = ["edition", "listing"]
-    if ranks is None:
-        top = whole_ranks(orders, groups, "o_totalprice", "o_orderkey")
-    else:
-        top = top_per_edition(orders, groups, [F.col("o_totalprice").desc(), key], ranks)
-    rows = top.join(lead, "o_orderkey", "left").join(customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+    placed = ranked(orders, ["edition", "listing"], [F.col("o_totalprice").desc(), key])
+    rows = placed.join(lead, "o_orderkey", "left").join(customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
     accel = F.when(key % 3 == 0, F.col("p_type"))
     return rows.select(
         "o_orderkey",
         F.col("o_custkey").alias("entity_id"),
         "edition",
         "listing",
-        F.col("rank").cast("long").alias("rank"),
+        "rank",
         F.col("o_totalprice").alias("rmax"),
         F.year("o_orderdate").alias("year"),
         F.upper("country").alias("country"),
@@ -290,7 +270,7 @@ def listed(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS) ->
         (
             F.when(is_open, 0).otherwise(1).cast("long") * 2**61
             + (F.col("edition") * 2).cast("long") * 2**46
-            + F.col("rank").cast("long")
+            + F.col("rank")
         ).alias("row_seq"),
     )
 
@@ -316,29 +296,35 @@ def _labelled(systems: DataFrame) -> DataFrame:
     )
 
 
-def q_computers(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS) -> DataFrame:
-    return _labelled(fleet_plans.computers(listed(spark, sf_dir, ranks), "rmax", MAX_EDITION, last_rank=LIST_RANKS))
+def q_computers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(fleet_plans.computers(listed(spark, sf_dir), "rmax", MAX_EDITION, last_rank=THRESHOLD_RANK))
 
 
-def q_exit_active(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS) -> DataFrame:
-    systems = fleet_plans.computers(listed(spark, sf_dir, ranks), "rmax", MAX_EDITION, last_rank=LIST_RANKS, keep_active=True)
+def q_exit_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    systems = fleet_plans.computers(listed(spark, sf_dir), "rmax", MAX_EDITION, last_rank=THRESHOLD_RANK, keep_active=True)
     return _labelled(systems)
 
 
 CHIP_COLUMNS = ("cpu_tdp", "cpu_num_cores", "gpu_tdp", "n_shaders", "n_sm", "second_gpu_tdp")
 
 
-def q_chips(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS) -> DataFrame:
-    joined = fleet_plans.chips(listed(spark, sf_dir, ranks), *chip_sheets(spark, sf_dir, missing="PROMO"))
+def q_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = fleet_plans.chips(listed(spark, sf_dir), *chip_sheets(spark, sf_dir, missing="PROMO"))
     return joined.select("o_orderkey", "entity_id", "processor", "accel_name", *CHIP_COLUMNS)
 
 
-def q_gpu_fill(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS, use_sheet: bool = False) -> DataFrame:
-    """Accelerators without a power value: estimated from the sheet with ``use_sheet``, else the default where one is present."""
-    _, gpus = chip_sheets(spark, sf_dir)
-    sheet = gpus if use_sheet else gpus.filter("gpu_model <> gpu_model")
-    parts = listed(spark, sf_dir, ranks).withColumn("gpu_tdp", F.when(F.col("accel_name") == "ECONOMY", F.lit(55.0)))
-    filled = fill_missing_tdp(parts, sheet, "accel_name", "gpu_tdp", "gpu_model", "gpu_tdp", F.col("accel_present"))
+def q_gpu_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accelerators without a power value: estimated from the sheet by names that are written in several ways."""
+    _, gpus = chip_sheets(spark, sf_dir, missing="PROMO")
+    name, step = F.col("accel_name"), F.col("o_orderkey") % 9
+    written = (
+        F.when(step == 0, name)
+        .when(step == 3, F.concat(name, F.lit(" X"), (F.col("o_orderkey") % 7).cast("string")))
+        .otherwise(F.concat(F.lit("MARK "), F.translate(name, "AE", "E"), F.lit(" "), (F.col("o_orderkey") % 5).cast("string")))
+    )
+    known = F.when((name == "ECONOMY") & (step == 0), F.lit(55.0))
+    parts = listed(spark, sf_dir).withColumns({"gpu_tdp": known, "accel_name": written})
+    filled = fill_missing_tdp(parts, gpus, "accel_name", "gpu_tdp", "gpu_model", "gpu_tdp", F.col("accel_present"))
     return filled.select("o_orderkey", "accel_name", "gpu_tdp")
 
 
@@ -370,10 +356,10 @@ def q_country_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both, 6, "intensity_a", "intensity_a_direct", "mean_a", "mean_direct").withColumns({c: F.col(c).cast("long") for c in ("year", "month")})
 
 
-def q_build_fleet(spark: SparkSession, sf_dir: str, ranks: int | None = LIST_RANKS) -> DataFrame:
+def q_build_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     cpus, gpus = chip_sheets(spark, sf_dir)
     monthly = fleet_plans.electricity(country_intensity(*zone_readings(spark, sf_dir)), provider_b(spark, sf_dir))
-    built = fleet_plans.build_fleet(listed(spark, sf_dir, ranks), cpus, gpus, monthly, "rmax", MAX_EDITION, LIST_RANKS)
+    built = fleet_plans.build_fleet(listed(spark, sf_dir), cpus, gpus, monthly, "rmax", MAX_EDITION, THRESHOLD_RANK)
     chosen = built.select(
         "o_orderkey", "entity_id", "edition", "final_edition", "exit_reason", "lifespan", "processor", "accel_name", "num_cpus",
         "num_gpus", "cpu_tdp", "gpu_tdp", *fleet_plans.INTENSITIES,
@@ -403,6 +389,43 @@ def q_edition_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LIST_HEADER = "Rank,Site,Manufacturer,Computer,Country,Year,Nmax,Nhalf,Processor,Segment,Continent,Name,Accelerator/Co-Processor,Accelerator/Co-Processor Cores"
+LIST_YEARS = 10
+
+
+def write_lists(spark: SparkSession, sf_dir: str) -> str:
+    """The first 500 orders of each edition as ranking lists, ten years later: the old ones with a title, a header per era."""
+    top = top_per_edition(editions(spark, sf_dir), ["edition"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], LISTED)
+    at = F.col("edition") + LIST_YEARS
+    price = F.col("o_totalprice").cast("string")
+    quoted = F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit(', ""x"""'))
+    cells = [
+        F.col("rank"), F.lit("S1"), F.lit("ACME"), F.col("o_orderkey"), F.when(F.col("o_orderkey") % 2 == 0, "USA").otherwise("France"), F.year("o_orderdate"), F.lit("n/a"),
+        F.lit(""), quoted, F.col("o_orderstatus"), F.lit("Europe"), F.col("o_custkey"), F.when(F.col("o_orderkey") % 3 == 0, "K20").otherwise(""), F.lit(""),
+        F.col("o_custkey"), price, F.concat(price, F.lit("0")),
+    ]
+    rows = top.select(at.alias("at"), F.col("rank").alias("line"), F.concat_ws(",", *[c.cast("string") for c in cells]).alias("value"))
+    lists = top.select(at.alias("at")).distinct()
+    cores = F.when(F.col("at") < 2008.5, "Processors").when(F.col("at") < 2011.5, "Cores").otherwise("Total Cores")
+    heads = lists.select("at", F.lit(0).alias("line"), F.concat_ws(",", F.lit(LIST_HEADER), cores, F.lit("RMax"), F.lit("RPeak")).alias("value"))
+    titles = lists.filter("at < 2008").select("at", F.lit(-1).alias("line"), F.concat(F.lit("List of "), F.col("at").cast("string")).alias("value"))
+    named = F.concat(F.floor("at").cast("string"), F.when(F.col("at") % 1 > 0, "_11").otherwise("_06"))
+    whole = rows.unionByName(heads).unionByName(titles).withColumn("edition", named)
+    path = fresh_path(spark, "lists")
+    # an edition's lines are 502 at most and belong into one file in their order
+    whole.repartition("edition").sortWithinPartitions("edition", "line").select("value", "edition").write.partitionBy("edition").text(path)
+    return path
+
+
+def q_list_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of two eras, with and without title lines, read back as files and cut to the editions from November 2006 on."""
+    rows = read_lists(spark, write_lists(spark, sf_dir), first=2006.5)
+    return rows.select(
+        "rank_year", "edition", "listing", "rank", F.col("computer").cast("long").alias("o_orderkey"), "country", F.col("year").cast("long").alias("year"),
+        "nmax", "processor", "segment", F.col("name").cast("long").alias("o_custkey"), "accel_name", "accel_present", "cores", "rmax", "rpeak",
+    )
+
+
 def q_era_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     edition = date_to_edition(F.col("l_shipdate"))
@@ -433,6 +456,15 @@ def q_edition_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("edition", F.col("rank").cast("long").alias("rank"), "o_orderkey", "o_totalprice")
 
 
+def q_nth_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price of place 500 of each edition and status, and of place 20 000, which smaller editions do not have."""
+    found = [
+        nth_values(editions(spark, sf_dir), ["edition", "o_orderstatus"], "o_totalprice", n, sorted_rows=1000).withColumn("place", F.lit(n).cast("long"))
+        for n in (LISTED, 20_000)
+    ]
+    return union_all(found)
+
+
 def q_edition_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     buyers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"),
@@ -601,6 +633,15 @@ def q_exit_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_exit_reason_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``q_exit_reason`` with lists of 1996 to 1999 missing: the first list after a system's last one decides."""
+    kept = editions(spark, sf_dir).filter("edition not between 1996 and 1999 or o_orderkey % 3 = 0")
+    limits = thresholds(spark, sf_dir).filter("final_edition < 1995.5 or final_edition >= 1999")
+    present = with_presence(kept, "o_custkey", "edition")
+    labelled = with_exit_reason(present, limits, "o_totalprice", MAX_EDITION, as_of=True)
+    return labelled.select("o_orderkey", "o_custkey", "edition", "final_edition", "threshold", "exit_reason")
+
+
 def q_exit_reason_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``q_exit_reason`` with every system of ten orders or more spread over pieces."""
     orders = editions(spark, sf_dir)

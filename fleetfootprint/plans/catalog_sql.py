@@ -218,8 +218,8 @@ listed AS (
          CASE WHEN o_orderkey % 4 = 1 THEN upper(p_brand) WHEN o_orderkey % 4 > 1 THEN p_brand END AS processor,
          CASE WHEN o_orderkey % 3 = 0 THEN p_type END AS accel_name, floor(o_totalprice) AS cores,
          CASE WHEN o_orderkey % 3 = 0 AND p_type IS NOT NULL THEN floor(o_totalprice / 2) END AS accel_cores,
-         list_no * 1e9 + edition * 1e4 + rank AS seq
-  FROM ranked LEFT JOIN lead_parts USING (o_orderkey) JOIN customers c ON o_custkey = c_custkey WHERE rank <= 100),
+         CAST(list_no AS BIGINT) * 1000000000000 + CAST(edition * 2 AS BIGINT) * 100000000 + rank AS seq
+  FROM ranked LEFT JOIN lead_parts USING (o_orderkey) JOIN customers c ON o_custkey = c_custkey),
 listed_history AS (
   SELECT entity_id, max(edition) AS final_edition, count(DISTINCT edition) AS n_editions, count(*) AS n_appearances FROM listed GROUP BY 1),
 listed_limits AS (SELECT edition - 0.5 AS final_edition, metric AS threshold FROM listed WHERE listing = 'Top500' AND rank = 100),
@@ -281,6 +281,15 @@ SELECT o_orderkey, rank_year, edition, rank,
 FROM (SELECT *, row_number() OVER (PARTITION BY edition ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM editions)
 WHERE rank <= 500"""
 
+    sql["q_list_source"] = f"""WITH {EDITIONS},
+placed AS (SELECT *, row_number() OVER (PARTITION BY edition ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM editions)
+SELECT CAST(year(o_orderdate) + 10 AS VARCHAR) || right(rank_year, 3) AS rank_year, edition + 10 AS edition, 'Top500' AS listing, rank, o_orderkey,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'United States of America' ELSE 'France' END AS country, year(o_orderdate) AS year, NULL AS nmax,
+       o_orderpriority || ', "x"' AS processor, o_orderstatus AS segment, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'K20' END AS accel_name,
+       o_orderkey % 3 = 0 AS accel_present, CAST(o_custkey AS DOUBLE) AS cores, o_totalprice AS rmax,
+       CAST(CAST(o_totalprice AS VARCHAR) || '0' AS DOUBLE) AS rpeak
+FROM placed WHERE rank <= 500 AND edition >= 1996.5"""
+
     sql["q_era_scale"] = """
 SELECT l_orderkey, l_partkey, l_suppkey,
        CASE WHEN edition < 1997.5 THEN l_quantity
@@ -298,6 +307,12 @@ SELECT edition, rank, o_orderkey, o_totalprice
 FROM (SELECT *, row_number() OVER (PARTITION BY edition ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM editions)
 WHERE rank <= 500"""
 
+    sql["q_nth_value"] = f"""WITH {EDITIONS},
+placed AS (
+  SELECT edition, o_orderstatus, o_totalprice,
+         row_number() OVER (PARTITION BY edition, o_orderstatus ORDER BY o_totalprice DESC) AS place FROM editions)
+SELECT * FROM placed WHERE place IN (500, 20000)"""
+
     sql["q_edition_union"] = """
 SELECT c_custkey AS id, c_name AS name, c_acctbal AS metric, c_mktsegment AS segment, 'customer' AS listing FROM customer
 UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL, 'supplier' FROM supplier"""
@@ -375,6 +390,17 @@ SELECT o_orderkey, o_custkey, edition, n_editions, final_edition, threshold,
 FROM editions JOIN history USING (o_custkey) LEFT JOIN thresholds USING (final_edition)
 WHERE final_edition < 2001.5"""
 
+    sql["q_exit_reason_gaps"] = f"""WITH {EDITIONS}, {THRESHOLDS},
+kept AS (SELECT * FROM editions WHERE edition NOT BETWEEN 1996 AND 1999 OR o_orderkey % 3 = 0),
+history AS (SELECT o_custkey, max(edition) AS final_edition FROM kept GROUP BY 1),
+limits AS (SELECT * FROM thresholds WHERE final_edition < 1995.5 OR final_edition >= 1999),
+later AS (
+  SELECT o_custkey, h.final_edition, arg_min(threshold, l.final_edition) AS threshold
+  FROM history h LEFT JOIN limits l ON l.final_edition >= h.final_edition GROUP BY 1, 2)
+SELECT o_orderkey, o_custkey, edition, final_edition, threshold,
+       CASE WHEN o_totalprice < threshold THEN 'Dropped' ELSE 'Removed' END AS exit_reason
+FROM kept JOIN later USING (o_custkey) WHERE final_edition < 2001.5"""
+
     gappy = """
 gappy AS (
   SELECT event_id, user_id, CASE WHEN event_type = 'click' THEN value END AS reading,
@@ -492,9 +518,17 @@ SELECT semester, year_month, {_rounded(both)}, {_TURNOVER} FROM own_series"""
     sql["q_exit_active"] = f"WITH {LISTED} {LABELLED}"
     sql["q_chips"] = f"""WITH {LISTED}, {_with_chips("listed", "PROMO")}
 SELECT o_orderkey, entity_id, processor, accel_name, cpu_tdp, cpu_num_cores, gpu_tdp, n_shaders, n_sm, second_gpu_tdp FROM chips"""
-    sql["q_gpu_fill"] = f"""WITH {LISTED}
-SELECT o_orderkey, accel_name, CASE WHEN accel_name = 'ECONOMY' THEN 55.0::DOUBLE WHEN accel_name IS NOT NULL THEN 200.0::DOUBLE END AS gpu_tdp
-FROM listed"""
+    gpu_systems = """
+systems AS (
+  SELECT o_orderkey AS p_partkey, accel_name AS base,
+         CASE o_orderkey % 9 WHEN 0 THEN accel_name WHEN 3 THEN accel_name || ' X' || (o_orderkey % 7)
+              ELSE 'MARK ' || translate(accel_name, 'AE', 'E') || ' ' || (o_orderkey % 5) END AS processor FROM listed)"""
+    gpu_specs = """
+specs AS (SELECT p_type AS spec_name, max(p_size) * 10.0::DOUBLE AS tdp FROM part WHERE p_type <> 'PROMO' GROUP BY p_type)"""
+    sql["q_gpu_fill"] = f"""{ESTIMATES.replace(SYSTEMS, f"{LISTED}, {gpu_systems}").replace(SPECS, gpu_specs).replace("FROM systems)", "FROM systems WHERE base IS NOT NULL)")}
+SELECT p_partkey AS o_orderkey, processor AS accel_name,
+       CASE WHEN base = 'ECONOMY' AND p_partkey % 9 = 0 THEN 55.0::DOUBLE ELSE estimate END AS gpu_tdp
+FROM systems LEFT JOIN estimates ON processor = name"""
     sql["q_country_intensity"] = f"""WITH {ZONES}
 SELECT country, year, month, {", ".join(f"round({c}, 6) AS {c}" for c in ("intensity_a", "intensity_a_direct", "mean_a", "mean_direct"))}
 FROM country_zones"""

@@ -29,7 +29,15 @@ def computers(
     """Editions with presence history, lifespan and exit reason.
 
     The threshold is the metric of place ``last_rank`` of the performance listing, the length the lists were read with.
+    The editions are written once, for history, thresholds and result each read them.
     """
+    return settled_computers(settle(editions, "editions"), metric, max_edition, hot, last_rank, keep_active)
+
+
+def settled_computers(
+    editions: DataFrame, metric: str, max_edition: float, hot: DataFrame | None, last_rank: int, keep_active: bool
+) -> DataFrame:
+    """``computers`` of editions that are cheap to read several times."""
     present = with_presence(editions, "entity_id", "edition", hot)
     limits = fleet_thresholds(editions, metric, last_rank)
     return with_exit_reason(present, limits, metric, max_edition, keep_active).withColumns(
@@ -77,7 +85,7 @@ def build_fleet(
     """
     editions = settle(editions, "editions")
     hot = hot_keys(editions, "entity_id")
-    systems = computers(editions, metric, max_edition, hot, last_rank, keep_active)
+    systems = settled_computers(editions, metric, max_edition, hot, last_rank, keep_active)
     rows = settle(chips(systems, cpu_specs, gpu_specs, hot), "chips")
     rows = rows.withColumn("year_month", edition_to_date(F.col("edition")))
     rows = with_intensity(rows, settle(intensity, "intensity"), "country", "year_month", INTENSITIES)

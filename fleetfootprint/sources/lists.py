@@ -23,9 +23,8 @@ from fleetfootprint.schemas import (
     PERFORMANCE_LISTING,
     Era,
 )
+from fleetfootprint.sources.list_source import FORMAT, NAMED_EDITION, RankingLists
 
-# Editions appear in June and November; a file or folder is named by its year and month, e.g. top_2019_11.csv.
-NAMED_EDITION = re.compile(r"(\d{4})_?(06|11)(?:\.[A-Za-z.]+)?$")
 HEADER_READERS = 16
 
 
@@ -152,6 +151,20 @@ def read_efficiency_lists(
     return rows.withColumn("accel_present", F.col("accel_name").isNotNull()).drop("accel_name")
 
 
+def read_lists(
+    spark: SparkSession, folder: str, listing: str = PERFORMANCE_LISTING, first: float = 0.0, last: float = 9999.0, n: int = LIST_LENGTH
+) -> DataFrame:
+    """First ``n`` rows of each edition in a folder, by the data source: headers and title lines are found by the tasks that read the files."""
+    spark.dataSource.register(RankingLists)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = spark.read.format(FORMAT).option("listing", listing).option("pushdown", pushdown)
+    rows = reader.option("first", first).option("last", last).load(folder).drop("edition", "listing")
+    rows = rows.withColumn("rank", F.col("rank").cast("long"))
+    rows = top_per_edition(rows, ["rank_year"], [F.col("rank"), F.col("computer"), F.col("site")], n, "_row").drop("_row")
+    rows = with_derived(rows, listing).withColumn("accel_present", F.col("accel_name").isNotNull())
+    return rows if listing == PERFORMANCE_LISTING else rows.drop("accel_name")
+
+
 def read_editions(
     spark: SparkSession,
     performance: dict[tuple[int, int], str],
@@ -168,6 +181,11 @@ def read_editions(
         frames.append(read_performance_lists(spark, performance, n, fmt))
     if efficiency:
         frames.append(read_efficiency_lists(spark, efficiency, n, fmt))
+    return both_listings(frames)
+
+
+def both_listings(frames: list[DataFrame]) -> DataFrame:
+    """Rows of the listings as one table with all columns and ``row_seq``."""
     rows = union_all(frames)
     shared = {target: kind for target, (_, kind) in PERFORMANCE_COLUMNS.items()}
     shared |= {target: "double" for target in EFFICIENCY_ERAS[0].columns} | {"rank": "long"}

@@ -169,3 +169,28 @@ def test_fill_agrees_for_null_order_and_null_key(spark):
                 assert r["x"] == want[r["row"]]
             else:  # two rows without an order: which of them is first is open
                 assert r["x"] == 7.0
+
+
+def test_next_thresholds_by_brute_force(spark):
+    import random
+
+    from fleetfootprint.operators.lifecycle import next_thresholds
+
+    rng = random.Random(7)
+    for _ in range(4):
+        lists = {2000 + rng.randint(0, 40) / 2: rng.choice([None, float(rng.randint(1, 99))]) for _ in range(9)}
+        moments = [rng.choice([None, 2000 + rng.randint(-4, 46) / 2]) for _ in range(200)]
+        limits = spark.createDataFrame(list(lists.items()), "final_edition double, threshold double")
+        asked = spark.createDataFrame([(m,) for m in moments], "final_edition double")
+        got = {r["final_edition"]: r["threshold"] for r in next_thresholds(asked, limits).collect()}
+        later = {m: [k for k in lists if k >= m] for m in moments if m is not None}
+        assert got == {m: lists[min(k)] if k else None for m, k in later.items()}
+
+
+def test_as_of_equals_the_shifted_join_on_regular_editions(spark):
+    from fleetfootprint.operators.lifecycle import with_exit_reason
+
+    rows = spark.createDataFrame([(i, 2000 + (i % 9) / 2, float(i % 13)) for i in range(100)], "id long, final_edition double, metric double")
+    limits = spark.createDataFrame([(2000 + k / 2, 3.0 + k) for k in range(7)], "final_edition double, threshold double")
+    plain, as_of = (sorted(map(str, with_exit_reason(rows, limits, "metric", 2004.0, as_of=a).collect())) for a in (False, True))
+    assert plain == as_of

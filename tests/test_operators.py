@@ -83,10 +83,11 @@ def test_case_folded_join_keeps_rows(spark, sheet):
     assert got == {"xeon e5-2670 8c": 115.0, "nothing": None, None: None}
 
 
-@pytest.mark.parametrize("blocks", [(4000, 2000), (1, 1), (2, 3)])
-def test_candidates_do_not_depend_on_blocks(spark, sheet, blocks):
+@pytest.mark.parametrize("known_keys", [4000, 3, 1])
+def test_candidates_do_not_depend_on_what_is_known_of_keys(spark, sheet, monkeypatch, known_keys):
+    monkeypatch.setattr(fuzzy, "KNOWN_KEYS", known_keys)
     names = spark.createDataFrame([("AMD 7V12",), ("Xeon E5-2690 8C",), ("Xeon E5-2690 8C",), ("zzz",), (None,)], "name string")
-    found = fuzzy.fuzzy_candidates(names, sheet, names_per_block=blocks[0], specs_per_block=blocks[1]).collect()
+    found = fuzzy.fuzzy_candidates(names, sheet).collect()
     got = {(r["name"], r["spec_name"]): round(r["score"], 4) for r in found}
     assert got[("AMD 7V12", SPECS[0][0])] == 100
     assert got[("Xeon E5-2690 8C", SPECS[1][0])] == 93.3333
