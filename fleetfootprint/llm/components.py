@@ -1,4 +1,8 @@
-"""Connected components of a large set of links, by alternating large-star and small-star steps."""
+"""Connected components of a large set of links, by alternating large-star and small-star steps.
+
+Defined cases: links of a node to itself and links with a null end make no component; repeated links and links in both
+directions count as one; an empty table of links gives an empty result; other columns are not read.
+"""
 
 from __future__ import annotations
 
@@ -32,7 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Each round writes its links to the shared folder, so a lost executor costs one round and lineage stays short. A hub
     is never gathered: its minimum is a combining aggregate and its links meet it in a join that splits skewed keys.
     """
-    links = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = settle(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     stamp = F.struct(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)))
     seen = links.select(stamp).first()[0]
     rounds = 0

@@ -7,7 +7,9 @@ rejected when even the nearest is further away than nearly all training document
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and rejected; a language that is null is not
 learned from; without any language to learn from every document is ``und``; ties go to the language that comes first by
-code point; rows that repeat are predicted each by itself; an empty table gives an empty result.
+code point; rows that repeat are predicted each by itself, a repeated id teaches its least text; very long texts are
+counted in chunks of ``CHUNK`` characters, an n-gram over the edge of two is not counted; an empty table gives an empty result. Other columns stay as
+they are; one with the name of the result gives way to it, ``frames.free_name`` finds a name that is free.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetfootprint.session import settle
+
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
 CLUSTERS = 3
@@ -104,18 +108,24 @@ def _spherical_means(rows: np.ndarray, clusters: int, steps: int) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, clusters: int = CLUSTERS, dimensions: int = DIMENSIONS) -> Model:
-    """Model from ``labelled`` (doc_id, text, lang): at most ``train_rows`` documents, as many of each language."""
-    known = labelled.filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not sizes:
+    """Model from ``labelled`` (doc_id, text, lang): at most ``train_rows`` documents, as many of each language.
+
+    Of more than ``train_rows`` languages the largest are learned, ties by code point.
+    """
+    known = labelled.filter("lang is not null and text is not null").select("lang", "doc_id", "text")
+    # the largest languages, a row each; their number is at most that of the documents to learn from
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "lang").limit(train_rows)
+    sizes = settle(sizes, "languages")
+    languages = sizes.count()
+    if not languages:
         return Model(np.ones(dimensions), np.zeros((0, dimensions), np.float32), np.array([]), {})
     # a share of each language's documents by the hash of the id: no rank, no sort, one scan
-    each = max(1, train_rows // len(sizes))
+    each = max(1, train_rows // languages)
+    below = F.least(F.lit(PLACES), F.floor(F.lit(PLACES) * 1.1 * each / F.col("size")).cast("long") + 1)
     place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(PLACES))
-    chosen = F.lit(False)
-    for lang, size in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (place < min(PLACES, int(PLACES * 1.1 * each / size) + 1)))
-    sample = known.filter(chosen).select("lang", "doc_id", "text").dropDuplicates(["lang", "doc_id"])
+    chosen = known.join(sizes.select("lang", below.alias("below")), "lang").filter(place < F.col("below"))
+    # one text per id, the least, so a repeated id brings the same text at every run
+    sample = chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -5,8 +5,9 @@ deliver, is the cumulative demand; the inverse of the demand turns the number of
 before a document into the document's training position. Documents are then range-sorted by position.
 
 Defined cases: a null or empty text has size 0 and takes nothing, also where its source has no other; a null source is a source of its own and comes
-last; rows that repeat (also with the same doc_id) count each by itself; an empty table gives an empty result;
-columns of the input other than those named are not looked at.
+last; rows that repeat (also with the same doc_id) count each by itself; documents whose ids have the same hash follow
+each other by id, then size, and rows that tie in all of these take their turns in any order, which changes no count; texts are counted whole, of
+any length; an empty table gives an empty result; columns of the input other than those named are not looked at.
 """
 
 from __future__ import annotations
@@ -164,20 +165,12 @@ def training_order(assigned: DataFrame) -> DataFrame:
     return assigned.select("doc_id", "size", F.inline("occurrences")).orderBy("position", "doc_id", "epoch")
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """``text`` up to the end of its ``n``-th word."""
-    gaps = F.slice(F.split(text, WORD, -1), F.lit(1), n)
-    words = F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), n)
-    return F.array_join(F.zip_with(gaps, words, lambda gap, word: F.concat(gap, word)), "")
-
-
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` (documents) as the mix delivers them, range-sorted by training position.
+    """``docs`` (documents) as the mix delivers them, a row per occurrence, range-sorted by training position.
 
-    A row per occurrence; the text is cut where its source's target ends in it.
+    Documents stay whole: the one in which its source's target ends is in where at least half of it belongs to the mix, and out
+    otherwise, so a source's words miss its target by half a document at most.
     """
     rows = assign_positions(docs, keep_rows=True).select("row", "size", F.inline("occurrences"))
-    cut = F.col("words") < F.col("size")
-    text = F.when(cut, first_words(F.col("row.text"), F.col("words").cast("int"))).otherwise(F.col("row.text"))
-    changed = {"text": text, "n_chars": F.when(cut, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
-    return rows.orderBy("position", "row.doc_id", "epoch").select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    whole = rows.filter(F.col("words") * 2 >= F.col("size"))
+    return whole.orderBy("position", "row.doc_id", "epoch").select("row.*")

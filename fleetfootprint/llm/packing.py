@@ -10,7 +10,7 @@ open. Open bins left at the end of a task are closed together, largest piece fir
 gives. A sequence's id is the task's number and a count within it, so a task that is run again gives the same ids.
 
 Defined cases: a null or empty text is the separator alone; rows that repeat are packed each by itself; null ids
-stay null; an empty table gives an empty result; other columns are not read.
+stay null; pieces of equal length keep the order in which they come; a very long text is encoded as a whole by its task; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

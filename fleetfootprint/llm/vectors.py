@@ -4,8 +4,10 @@ For unit vectors cosine >= c means a squared distance of at most 2 - 2c. The vec
 bounded sample) and cut into blocks of 16 axes; each block gets a share of the squared distance in proportion to its
 variance. By the pigeonhole principle a linked pair is within the share in at least one block, so the blocks are
 joined one by one: a block's leading axes are cut into cells wider than the block's radius, a vector goes to its own
-cell and to the next one where its radius reaches into it, and pairs are compared on the block's axes alone. What
-passes is verified on the whole vectors in double precision. A pair counts in the first block whose share it meets
+cell and to the next one where its radius reaches into it. Within a cell a pair of vectors is a candidate only if it is
+within the radius along every axis of the block, and of ``TURNS`` more rotations of its axes: an index of bits holds, for
+every direction and slice of it, the vectors within the radius of the slice, so a vector's candidates are the intersection of one row of bits per
+direction. Only for these the distance in the block is evaluated. What passes is verified on the whole vectors in double precision. A pair counts in the first block whose share it meets
 and in the cell of its larger coordinates, so nothing is counted twice and no pairs leave a task: only numbers of links
 per vector and a spanning forest of the links do.
 
@@ -13,14 +15,12 @@ A cell that holds more than ``TILE_ROWS`` vectors is dealt into tiles, each pair
 moves the work, never the result: it is fitted on at most ``SAMPLE_ROWS`` vectors, chosen by a hash.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and get
-n_links 0; vectors of different lengths never link; equal vectors are one node whose number of copies is counted; rows
-that repeat a vec_id get a row each; an empty table gives an empty result; other columns are not read.
+n_links 0; vectors of different lengths never link; equal vectors are one node whose number of copies is counted; a cosine of
+exactly the threshold links; rows that repeat a vec_id get a row each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,7 +37,10 @@ CELL_RADII = 4
 TILE_ROWS = 16_384
 SAMPLE_ROWS = 4_096
 SLACK = 1e-9
-COARSE = 1e-5
+TURNS = 2
+SLICES = 64
+QUERIES = 256
+PAIRS_AT_ONCE = 200_000
 
 
 def _unit(packed: pd.Series, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +87,59 @@ def _cells(blocks: Blocks, unit: np.ndarray, block: int) -> tuple[np.ndarray, np
     return np.floor(lead / width + 0.5).astype(np.int64), np.floor((lead + radius) / width + 0.5).astype(np.int64)
 
 
+class RangeIndex:
+    """Which points of a block are within a radius along each of its axes and of some rotations of them, as bits."""
+
+    def __init__(self, points: np.ndarray, radius: float, turns: int, slices: int) -> None:
+        axes, rng = points.shape[1], np.random.default_rng(7)
+        turned = [np.linalg.qr(rng.normal(size=(axes, axes)))[0] for _ in range(turns)]
+        values = np.ascontiguousarray(np.hstack([points, *[points @ t for t in turned]]).T)
+        self.words = (len(points) + 63) // 64
+        slices = max(1, min(slices, len(points) // 16))
+        reach = radius + SLACK
+        self.rows, self.slice = [], []
+        for along in values:
+            cuts = np.quantile(along, np.arange(1, slices) / slices)
+            own = np.searchsorted(cuts, along, side="right")
+            # a slice without points is asked for by none
+            low, high = np.full(slices, np.inf), np.full(slices, -np.inf)
+            np.minimum.at(low, own, along)
+            np.maximum.at(high, own, along)
+            bits = np.zeros((slices, self.words * 8), np.uint8)
+            inside = (along >= low[:, None] - reach) & (along <= high[:, None] + reach)
+            packed = np.packbits(inside, axis=1, bitorder="little")
+            bits[:, : packed.shape[1]] = packed
+            self.rows.append(bits.view(np.uint64))
+            self.slice.append(own)
+
+    def candidates(self, queries: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, other) that every direction lets through; ``among`` are the bits of the others that count."""
+        bits = self.rows[0][self.slice[0][queries]] & among
+        for rows, own in zip(self.rows[1:], self.slice[1:]):
+            bits &= rows[own[queries]]
+        query, word = np.nonzero(bits)
+        found = np.unpackbits(bits[query, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        at, bit = np.nonzero(found)
+        return queries[query[at]], word[at] * 64 + bit
+
+
+def block_pairs(points: np.ndarray, radius: float, left: np.ndarray, right: np.ndarray):
+    """Candidate pairs (i, j) of rows of ``points`` in pieces: i of ``left`` and j of ``right``, or i < j where both are the same."""
+    index = RangeIndex(points, radius, TURNS, SLICES)
+    same = left is right
+    chosen = np.zeros(index.words * 64, bool)
+    chosen[right] = True
+    for at in range(0, len(left), QUERIES):
+        queries = left[at : at + QUERIES]
+        if same:
+            chosen[: queries[0]] = False
+        i, j = index.candidates(queries, np.packbits(chosen, bitorder="little").view(np.uint64))
+        if same:
+            i, j = i[i < j], j[i < j]
+        for part in range(0, len(i), PAIRS_AT_ONCE):
+            yield i[part : part + PAIRS_AT_ONCE], j[part : part + PAIRS_AT_ONCE]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding)."""
     budget = 2 - 2 * threshold
@@ -137,39 +193,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows:
         node, copies, tiles = frame["node"].to_numpy(), frame["copies"].to_numpy(), frame["tile"].to_numpy()
         parts = [blocks.project(unit, b) for b in range(len(blocks.shares))]
         own, links, label = _cells(blocks, unit, block)[0], np.zeros(len(frame), np.int64), np.arange(len(frame))
-        # one product of [-2x, |x|^2, 1] and [y, 1, |y|^2] gives the squared distances; single precision, so with more slack
-        mine, share = parts[block], np.float32(blocks.shares[block] + COARSE)
-        square, one = (mine * mine).sum(axis=1, keepdims=True), np.ones((len(frame), 1))
-        from_left = np.hstack([-2 * mine, square, one]).astype(np.float32)
-        from_right = np.hstack([mine, one, square]).astype(np.float32)
+        mine, radius = parts[block], float(np.sqrt(blocks.shares[block] * (1 + SLACK) + SLACK))
         norm = np.linalg.norm(raw, axis=1)
-        right_rows = np.flatnonzero(tiles == high)
         left_rows = np.flatnonzero(tiles == low)
-        for at, over in itertools.product(range(0, len(left_rows), 512), range(0, len(right_rows), 2048)):
-            rows, others = left_rows[at : at + 512], right_rows[over : over + 2048]
-            if low == high and rows[0] > others[-1]:
-                continue
-            near = np.flatnonzero(from_left[rows] @ from_right[others].T <= share)
-            if not len(near):
-                continue
-            i, j = rows[near // len(others)], others[near % len(others)]
-            ordered = i < j if low == high else np.ones(len(i), bool)
-            i, j = i[ordered], j[ordered]
-            for part in range(0, len(i), 200_000):
-                a, b = i[part : part + 200_000], j[part : part + 200_000]
-                # exactly here, by the condition that later blocks use
-                first = ((mine[a] - mine[b]) ** 2).sum(axis=1) <= blocks.shares[block] * (1 + SLACK) + SLACK
-                for earlier in range(block):  # counted there
-                    gap = ((parts[earlier][a] - parts[earlier][b]) ** 2).sum(axis=1)
-                    first &= gap > blocks.shares[earlier] * (1 + SLACK) + SLACK
-                g = own.shape[1]
-                first &= (np.maximum(own[a], own[b]) == cell[:g]).all(axis=1)
-                a, b = a[first], b[first]
-                linked = np.einsum("ij,ij->i", raw[a], raw[b]) / (norm[a] * norm[b]) >= threshold
-                a, b = a[linked], b[linked]
-                np.add.at(links, a, copies[b])
-                np.add.at(links, b, copies[a])
-                label = merge(label, a, b)
+        right_rows = left_rows if low == high else np.flatnonzero(tiles == high)
+        g = own.shape[1]
+        for a, b in block_pairs(mine, radius, left_rows, right_rows):
+            # exactly here, by the condition that later blocks use
+            first = ((mine[a] - mine[b]) ** 2).sum(axis=1) <= blocks.shares[block] * (1 + SLACK) + SLACK
+            a, b = a[first], b[first]
+            first = (np.maximum(own[a], own[b]) == cell[:g]).all(axis=1)
+            for earlier in range(block):  # counted there
+                gap = ((parts[earlier][a] - parts[earlier][b]) ** 2).sum(axis=1)
+                first &= gap > blocks.shares[earlier] * (1 + SLACK) + SLACK
+            a, b = a[first], b[first]
+            linked = np.einsum("ij,ij->i", raw[a], raw[b]) / (norm[a] * norm[b]) >= threshold
+            a, b = a[linked], b[linked]
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+            label = merge(label, a, b)
         some = np.flatnonzero(links)
         return pd.DataFrame({"node": node[some], "links": links[some], "to": node[label[some]]})
 
