@@ -84,6 +84,11 @@ def cleanup(spark: SparkSession) -> None:
     _delete(spark, own_folder(spark))
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one settled path that nothing reads any more."""
+    _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     name = spark._jvm.org.apache.hadoop.fs.Path(path)
     name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
@@ -97,7 +102,10 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     The files stay until ``cleanup`` or the end of a surrounding ``scratch``, for Spark reads them when the result
     is used, which may be any time later.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
+    return settle_as(df, fresh_path(df.sparkSession, label))
+
+
+def settle_as(df: DataFrame, path: str) -> DataFrame:
+    """``settle`` to a path from ``fresh_path`` that the caller may ``discard``."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
