@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetfootprint.session import settle
+from fleetfootprint.session import discard, fresh_path, settle_as
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -33,15 +33,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """node, component (smallest node reachable) for every node of ``edges`` (a, b; longs).
 
-    Each round writes its links to the shared folder, so a lost executor costs one round and lineage stays short. A hub
+    Each round writes its links to the shared folder, so a lost executor costs one round and lineage stays short; the links of the
+    round before go once they are written. A hub
     is never gathered: its minimum is a combining aggregate and its links meet it in a join that splits skewed keys.
     """
-    links = settle(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    spark = edges.sparkSession
+    ends = edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    path = fresh_path(spark, "links")
+    links = settle_as(ends.distinct(), path)
     stamp = F.struct(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)))
     seen = links.select(stamp).first()[0]
     rounds = 0
     while seen[0] and rounds < max_rounds:
-        links = settle(_star(_star(links, large=True), large=False), "links")
+        last, path = path, fresh_path(spark, "links")
+        links = settle_as(_star(_star(links, large=True), large=False), path)
+        discard(spark, last)
         now = links.select(stamp).first()[0]
         if now == seen:
             break

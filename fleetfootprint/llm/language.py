@@ -114,15 +114,16 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, clusters: int = CLUST
     """
     known = labelled.filter("lang is not null and text is not null").select("lang", "doc_id", "text")
     # the largest languages, a row each; their number is at most that of the documents to learn from
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "lang").limit(train_rows)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(PLACES))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("least")).orderBy(F.desc("size"), "lang").limit(train_rows)
     sizes = settle(sizes, "languages")
     languages = sizes.count()
     if not languages:
         return Model(np.ones(dimensions), np.zeros((0, dimensions), np.float32), np.array([]), {})
-    # a share of each language's documents by the hash of the id: no rank, no sort, one scan
+    # a share of each language's documents by the hash of the id, its first one at least: no rank, no sort, one scan
     each = max(1, train_rows // languages)
-    below = F.least(F.lit(PLACES), F.floor(F.lit(PLACES) * 1.1 * each / F.col("size")).cast("long") + 1)
-    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(PLACES))
+    share = F.least(F.lit(PLACES), F.floor(F.lit(PLACES) * 1.1 * each / F.col("size")).cast("long") + 1)
+    below = F.greatest(share, F.col("least") + 1)
     chosen = known.join(sizes.select("lang", below.alias("below")), "lang").filter(place < F.col("below"))
     # one text per id, the least, so a repeated id brings the same text at every run
     sample = chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))

@@ -218,86 +218,6 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     return train(bags, got["quality"].to_numpy(dtype=float))
 
 
-def score(self, text: str | None) -> float:
-        if self.constant is not None:
-            return self.constant
-        return float(self.forward(passages(text), np.zeros(1, np.int64))["p"][0])
-
-
-def _gradient(model: Model, rows: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-    w, f = model.weights, model.forward(rows, starts)
-    error = (f["p"] - labels) / len(labels)
-    dz = np.repeat(error[:, None] * w["score"], f["sizes"], axis=0)
-    pull = (dz * f["h"]).sum(axis=1)
-    mean_pull = np.repeat(np.add.reduceat(f["a"] * pull, starts), f["sizes"])
-    ds = f["a"] * (pull - mean_pull)
-    tg = f["t"] * f["g"]
-    dtg = ds[:, None] * w["attend"]
-    dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
-    dh = f["a"][:, None] * dz + dt @ w["value"].T + dg @ w["gate"].T
-    du = dh * (1 - f["h"] ** 2)
-    return {
-        "encode": f["x"].T @ du, "encode_0": du.sum(axis=0), "value": f["h"].T @ dt, "gate": f["h"].T @ dg,
-        "attend": tg.T @ ds, "score": f["z"].T @ error, "score_0": np.array(error.sum()),
-    }
-
-
-def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1, batch: int = 128) -> Model:
-    """Adam on the cross entropy of the bags' labels."""
-    if not len(labels) or labels.min() == labels.max():
-        share = float(labels.mean()) if len(labels) else 0.5
-        return Model(np.zeros(1), np.ones(1), {}, share)
-    rng, rows = np.random.default_rng(seed), np.concatenate(bags).astype(np.float64)
-    init = lambda *shape: rng.normal(size=shape) / np.sqrt(shape[0])
-    weights = {
-        "encode": init(FEATURES, HIDDEN), "encode_0": np.zeros(HIDDEN), "value": init(HIDDEN, ATTENTION),
-        "gate": init(HIDDEN, ATTENTION), "attend": init(ATTENTION), "score": init(HIDDEN), "score_0": np.zeros(()),
-    }
-    model = Model(rows.mean(axis=0), rows.std(axis=0) + 0.05, weights)
-    sizes = np.array([len(b) for b in bags])
-    ends = np.cumsum(sizes)
-    first, second, step = {k: np.zeros_like(v) for k, v in weights.items()}, {k: np.zeros_like(v) for k, v in weights.items()}, 0
-    for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs) + 1e-4
-        order = rng.permutation(len(bags))
-        for at in range(0, len(order), batch):
-            own = order[at : at + batch]
-            part = np.concatenate([rows[ends[i] - sizes[i] : ends[i]] for i in own])
-            starts = np.cumsum(sizes[own]) - sizes[own]
-            step += 1
-            for name, grad in _gradient(model, part, starts, labels[own]).items():
-                grad = grad + DECAY * weights[name]
-                first[name] = 0.9 * first[name] + 0.1 * grad
-                second[name] = 0.999 * second[name] + 0.001 * grad**2
-                move = first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
-                weights[name] = weights[name] - rate * move
-    return model
-
-
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality of 0 or 1)."""
-    ids = docs.select("doc_id").join(labels.filter("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
-    # one label and one text per id: the least, so a repeated id takes one place and brings one row to the driver
-    chosen = ids.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(train_rows)
-    texts = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
-    )
-
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            packed = []
-            for text in frame["text"]:
-                rows = passages(text)
-                packed.append(rows.astype("<f4").tobytes())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "quality": frame["quality"], "packed": packed})
-
-    got = texts.mapInPandas(encode, "doc_id long, quality int, packed binary").toPandas()
-    got = got.sort_values(["doc_id", "packed"], ignore_index=True).head(train_rows)
-    bags = [np.frombuffer(p, dtype="<f4").reshape(-1, FEATURES) for p in got["packed"]]
-    return train(bags, got["quality"].to_numpy(dtype=float))
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0..1, higher: label 1 likelier) and predicted (1 from 0.5 on) of ``docs`` (doc_id, text)."""
 

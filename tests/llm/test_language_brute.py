@@ -1,0 +1,101 @@
+"""Language identification against plain Python, with many languages, repeated ids and clashing columns."""
+
+import collections
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fleetfootprint.llm import language
+
+M = 2**64
+
+
+def plain_counts(text, dimensions):
+    """Hashed 1- to 3-grams of the letters of a text, words set apart by one space."""
+    letters = [c if c.isalpha() else " " for c in (text or "").lower()]
+    if not any(c != " " for c in letters):
+        return None
+    # letters, and the first other sign after one
+    kept = [c for i, c in enumerate(letters) if c != " " or (i and letters[i - 1] != " ")]
+    signs = [32, *map(ord, kept), 32]
+    counts = [0] * dimensions
+    for order in (1, 2, 3):
+        for i in range(len(signs) - order + 1):
+            code = signs[i]
+            for k in range(1, order):
+                code = (code * 0x100000001B3 + signs[i + k]) % M
+            counts[(((code + order) * 0x9E3779B97F4A7C15 % M) >> 40) % dimensions] += 1
+    return counts
+
+
+def test_grams():
+    rng = random.Random(1)
+    for text in ["", None, "12 !", "a", "Hello, world!", "ÉÀ ß straße", "a1b2", "  x  y ", "日本 語"] + ["".join(rng.choice("ab c.1é") for _ in range(30)) for _ in range(50)]:
+        got, want = language.gram_counts(text, 256), plain_counts(text, 256)
+        assert (got is None) == (want is None) and (want is None or got.tolist() == want), text
+
+
+def test_model_and_nearest_centroid(spark):
+    """With one centroid a language: document frequencies, centroid, cosine and rejection, all in plain Python."""
+    rng = random.Random(2)
+    words = {"aa": ["foo", "bar", "baz"], "bb": ["quux", "zip", "zap"], "cc": ["ñandú", "niño", "año"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(3, 12))), lang) for i, lang in enumerate("aa bb cc".split() * 15)]
+    rows += [(900, None, "aa"), (901, "!!", "bb"), (902, "foo", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, clusters=1, dimensions=128)
+    known = [(plain_counts(t, 128), lang) for _, t, lang in rows if t and lang and plain_counts(t, 128)]
+    idf = [math.log((1 + len(known)) / (1 + sum(c[d] > 0 for c, _ in known))) + 1 for d in range(128)]
+    assert np.allclose(model.idf, idf)
+
+    def unit(v):
+        size = math.sqrt(sum(x * x for x in v))
+        return [x / size for x in v]
+
+    vectors = [(unit([math.log1p(x) * w for x, w in zip(c, idf)]), lang) for c, lang in known]
+    centroids = {lang: unit([sum(v[d] for v, l_ in vectors if l_ == lang) for d in range(128)]) for lang in words}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for _, text, _ in rows:
+        counts = plain_counts(text, 128)
+        got = model.predict(text)
+        if counts is None:
+            assert got == ("und", 0.0, True)
+            continue
+        near = {lang: cosine(unit([math.log1p(x) * w for x, w in zip(counts, idf)]), c) for lang, c in centroids.items()}
+        best = max(sorted(near), key=near.get)
+        assert got[0] == best and got[1] == pytest.approx(near[best], abs=1e-5)
+        assert got[2] == (got[1] < model.accept[best])
+    for lang, c in centroids.items():
+        own = [cosine(v, c) for v, l_ in vectors if l_ == lang]
+        assert model.accept[lang] == pytest.approx(0.5 * np.quantile(own, 0.005), abs=1e-5)
+
+
+def test_thousands_of_languages(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} word", f"l{i % 5000:04d}") for i in range(7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, train_rows=600, dimensions=64)
+    # the largest languages, ties by name, as many as there are documents to learn from
+    sizes = collections.Counter(lang for _, _, lang in rows)
+    want = sorted(sorted(sizes), key=lambda n: -sizes[n])[:600]
+    assert sorted(set(model.language)) == sorted(want) and len(model.centroids) <= 600
+    whole = language.fit(docs, train_rows=5000, dimensions=64)
+    assert len(set(whole.language)) == 5000
+    assert language.identify(docs.limit(50), whole).filter("found.lang_pred is null").count() == 0
+
+
+def test_repeated_ids_teach_one_text(spark):
+    rows = [(i % 7, f"text {chr(97 + i)} of some words", "en" if i % 2 else "de") for i in range(26)] * 2
+    models = [language.fit(spark.createDataFrame(random.Random(k).sample(rows, len(rows)), "doc_id long, text string, lang string").repartition(k + 1), dimensions=64) for k in range(3)]
+    for other in models[1:]:
+        assert np.array_equal(models[0].idf, other.idf) and np.array_equal(models[0].centroids, other.centroids) and models[0].accept == other.accept
+
+
+def test_free_columns_stay(spark, docs):
+    from fleetfootprint.llm.frames import free_name
+
+    named = docs.withColumn("found", F.lit("mine"))
+    into = free_name(named.columns, "found")
+    out = language.identify(named, language.fit(docs), into=into)
+    assert into == "_found" and out.filter("found = 'mine'").count() == docs.count()
