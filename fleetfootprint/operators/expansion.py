@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfootprint.functions.calendar import edition_to_date
@@ -112,52 +112,101 @@ def _cohorts(entities: DataFrame, params: ImpactParams, by: list[str]) -> DataFr
     return powered.groupBy(*by, "install", "life").agg(F.count(F.lit(1)).alias("systems"), *sums, *counts, *steady)
 
 
+# What an event adds: energy and carbon of its own semester, the same from there on, and systems.
+_MOMENT = tuple(f"{p}{w}" for p in PARTS for w in ("", "_weighted"))
+_COUNTS = ("active", "added", "removed", "systems", "steady_active", "steady_systems")
+
+
+def _events(cohorts: DataFrame, params: ImpactParams, by: list[str]) -> DataFrame:
+    """At most five rows per cohort, at the steps of the grid where something changes.
+
+    A cohort starts, warms up, reaches the load that it keeps, and stops; one more row counts its systems. The first two
+    semesters stand for themselves; what lasts is an amount at its first step and the same amount off after its last, to be added up over the
+    grid. A cohort that runs when the span begins starts there. A cohort installed between two grid points has no first two semesters.
+    """
+    size = grid_size(params.span)
+    at = (F.col("install") - params.span[0]) * 2
+    on_grid, start = at == F.floor(at), F.floor(at)
+    steady = F.ceil(at + 2)
+    end = F.ceil((F.col("install") + F.col("life") - params.span[0]) * 2)
+    begin = F.greatest(steady, F.lit(0))
+    lasts = (end > steady) & (end > 0)
+    # in the semester before, where there is one, the cohort was warming up
+    warmed = on_grid & (steady > 0)
+
+    def energies(level: int, sign: int = 1) -> dict[str, Column]:
+        tau = F.lit(params.tau_levels[level])
+        return {f"{p}{w}": _energy(p, tau, w) * sign for p in PARTS for w in ("", "_weighted")}
+
+    def event(step: Column, when: Column, now: dict[str, Column] | None = None, kept: dict[str, Column] | None = None, **counts: Column) -> Column:
+        fields = [step.cast("long").alias("step")]
+        fields += [(now or {}).get(c, F.lit(0.0)).alias(c) for c in _MOMENT]
+        fields += [(kept or {}).get(c, F.lit(0.0)).alias(f"steady_{c}") for c in _MOMENT]
+        fields += [counts.get(c, F.lit(0)).cast("long").alias(c) for c in _COUNTS]
+        return F.when(when & (step >= 0) & (step < size), F.struct(*fields))
+
+    runs = [F.col(f"runs_{k}") for k in range(3)]
+    second = start + 1
+    events = [
+        event(F.lit(0), F.lit(True), systems=F.col("systems")),
+        event(start, on_grid, energies(0), active=runs[0], added=runs[0]),
+        event(
+            second, on_grid, energies(1), active=runs[1],
+            added=runs[1] - F.when(second > 0, F.col("runs_01")).otherwise(0),
+            removed=F.when(second > 0, runs[0] - F.col("runs_01")).otherwise(0),
+        ),
+        event(
+            begin, lasts & (end > begin), None, energies(2), steady_active=runs[2], steady_systems=F.col("systems"),
+            added=runs[2] - F.when(warmed, F.col("runs_12")).otherwise(0),
+            removed=F.when(warmed, runs[1] - F.col("runs_12")).otherwise(0),
+        ),
+        # what lasted ends, or the second semester was the last
+        F.when(
+            lasts,
+            event(end, end > begin, None, energies(2, -1), steady_active=-runs[2], steady_systems=-F.col("systems"), removed=runs[2]),
+        ).otherwise(event(steady, warmed, removed=runs[1])),
+    ]
+    return cohorts.select(*by, F.inline(F.filter(F.array(*events), lambda x: x.isNotNull())))
+
+
 def impact_series(entities: DataFrame, params: ImpactParams, by: list[str] | None = None) -> DataFrame:
     """Energy, carbon and turnover per semester (and per ``by`` columns) over the whole span.
 
-    ``total_systems`` counts every system in every semester, running or not.
+    ``total_systems`` counts every system in every semester, running or not. Cohorts give their changes, which are added up
+    per step and then along the grid, so the grid multiplies groups and never cohorts or systems.
     """
     by = by or []
-    cohorts = _cohorts(entities, params, by)
-    grid = F.sequence(F.lit(0), F.lit(grid_size(params.span) - 1))
-    rows = cohorts.withColumn("_step", F.explode(grid)).withColumn("semester", F.col("_step") * 0.5 + params.span[0])
-    age = F.col("semester") - F.col("install")
-    rows = rows.withColumns(
-        {
-            "_now": age_class(age, F.col("life")),
-            "_before": F.when(F.col("_step") > 0, age_class(age - 0.5, F.col("life"))),
-        }
+    size = grid_size(params.span)
+    names = [*_MOMENT, *(f"steady_{c}" for c in _MOMENT), *_COUNTS]
+    changes = _events(_cohorts(entities, params, by), params, by)
+    per_step = changes.groupBy(*by, "step").agg(*[F.sum(c).alias(c) for c in names])
+    groups = per_step.groupBy(*by).agg(
+        F.sum("systems").alias("total_systems"), F.map_from_entries(F.collect_list(F.struct("step", F.struct(*names)))).alias("_steps")
     )
+    grid = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")) if size else F.array().cast("array<long>")
+    rows = groups.filter(F.col("total_systems").isNotNull()).withColumn("_step", F.explode(grid))
+    rows = rows.withColumn("_at", F.try_element_at("_steps", F.col("_step"))).withColumn("semester", F.col("_step") * 0.5 + params.span[0])
+    so_far = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
 
-    def running(level: Column) -> Column:
-        count = F.lit(0)
-        for k in range(3):
-            count = F.when(level == k, F.col(f"runs_{k}")).otherwise(count)
-        return count
-
-    now, before = F.col("_now"), F.col("_before")
-    kept = (
-        F.when(now == before, running(now))
-        .when((now == 1) & (before == 0), F.col("runs_01"))
-        .when((now == 2) & (before == 1), F.col("runs_12"))
-        .otherwise(0)
-    )
-    rows = rows.withColumns(
-        {
-            "_active": running(now),
-            "_was": running(before),
-            "_kept": kept,
-            "_tau": utilisation(now, params.tau_levels),
-        }
-    )
-    tau = F.col("_tau")
-    series = rows.groupBy(*by, "semester").agg(
-        *[F.sum(_energy(p, tau)).alias(f"{p}_gwh") for p in PARTS],
-        *[F.sum(_energy(p, tau, "_weighted")).alias(f"{p}_carbon_t") for p in PARTS],
-        F.sum(F.col("_active") - F.col("_kept")).alias("systems_added"),
-        F.sum(F.col("_was") - F.col("_kept")).alias("systems_removed"),
-        F.sum("_active").alias("active_systems"),
-        F.sum("systems").alias("total_systems"),
+    def now(name: str) -> Column:
+        return F.coalesce(F.col("_at")[name], F.lit(0))
+
+    def lasting(name: str) -> Column:
+        return F.sum(now(f"steady_{name}")).over(so_far)
+
+    def amount(name: str) -> Column:
+        # sums of amounts put on and taken off are exactly nothing only where no system is left
+        return now(name) + F.when(lasting("systems") > 0, lasting(name)).otherwise(0.0)
+
+    series = rows.select(
+        *by,
+        "semester",
+        *[amount(p).alias(f"{p}_gwh") for p in PARTS],
+        *[amount(f"{p}_weighted").alias(f"{p}_carbon_t") for p in PARTS],
+        now("added").alias("systems_added"),
+        now("removed").alias("systems_removed"),
+        (now("active") + lasting("active")).alias("active_systems"),
+        "total_systems",
     )
     return series.select(
         *by,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetfootprint.operators.presence import edition_list, presence_bits
 from fleetfootprint.operators.skew import hot_from_counts, join_per_key
 from fleetfootprint.session import settle
 
@@ -47,7 +48,9 @@ def with_presence(rows: DataFrame, key: str, edition: str, hot: DataFrame | None
 
     The history is written once: its appearance counts tell which systems have so many rows that the join spreads them.
     """
-    history = settle(presence_history(rows, key, edition).select(key, "editions", "n_appearances", "final_edition"), "history")
+    bits = presence_bits(rows, key, edition)
+    listed = edition_list(F.col("bits"), F.col("first_edition"), F.col("final_edition")).alias("editions")
+    history = settle(bits.select(key, listed, "n_appearances", "final_edition"), "history")
     hot = hot_from_counts(history, key, "n_appearances") if hot is None else hot
     return join_per_key(rows, history, key, hot)
 

@@ -40,6 +40,7 @@ from fleetfootprint.operators.lifecycle import (
     with_exit_reason,
     with_presence,
 )
+from fleetfootprint.operators.presence import list_turnover, presence_bits
 from fleetfootprint.operators.reshape import headers, preview_transposed, select_matching, union_all
 from fleetfootprint.operators.slicing import distinct_options, slice_fleet
 from fleetfootprint.operators.selection import nth_values, ranked
@@ -619,6 +620,11 @@ def q_presence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_list_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers listed per half-year, and those that came and went since the one before."""
+    return list_turnover(presence_bits(editions(spark, sf_dir), "o_custkey", "edition"), SPAN[0], SPAN[1])
+
+
 def q_exit_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     present = with_presence(editions(spark, sf_dir), "o_custkey", "edition")
     labelled = with_exit_reason(present, thresholds(spark, sf_dir), "o_totalprice", MAX_EDITION)

@@ -383,6 +383,16 @@ SELECT o_custkey, string_agg(CAST(edition AS VARCHAR), ',' ORDER BY edition) AS
        max(edition) - floor(min(edition)) AS lifespan
 FROM counted GROUP BY o_custkey"""
 
+    sql["q_list_turnover"] = f"""WITH {EDITIONS},
+seen AS (SELECT DISTINCT o_custkey, edition FROM editions),
+spans AS (SELECT CAST(1995 + i * 0.5 AS DOUBLE) AS edition FROM range(14) t(i)),
+came AS (SELECT s.edition, count(*) AS listed, count(*) FILTER (WHERE b.edition IS NULL) AS entered
+         FROM seen s LEFT JOIN seen b ON b.o_custkey = s.o_custkey AND b.edition = s.edition - 0.5 GROUP BY 1),
+went AS (SELECT b.edition + 0.5 AS edition, count(*) AS gone
+         FROM seen b LEFT JOIN seen s ON b.o_custkey = s.o_custkey AND b.edition = s.edition - 0.5 WHERE s.edition IS NULL GROUP BY 1)
+SELECT edition, coalesce(listed, 0) AS listed, coalesce(entered, 0) AS entered, coalesce(gone, 0) AS left
+FROM spans LEFT JOIN came USING (edition) LEFT JOIN went USING (edition)"""
+
     sql["q_exit_reason"] = f"""WITH {EDITIONS}, {THRESHOLDS},
 history AS (SELECT o_custkey, max(edition) AS final_edition, count(DISTINCT edition) AS n_editions FROM editions GROUP BY 1)
 SELECT o_orderkey, o_custkey, edition, n_editions, final_edition, threshold,

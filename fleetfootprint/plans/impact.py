@@ -6,7 +6,7 @@ cpu_tdp, gpu_tdp, num_cpus, num_gpus, intensity_a, intensity_b.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfootprint.operators.expansion import impact_series
@@ -166,10 +166,12 @@ def entity_vs_fleet(
 
 def key_figures(comparison: DataFrame) -> DataFrame:
     """Totals of the entity and of the fleet average over the entity's running years, and their ratios."""
-    running = comparison.filter(F.col("total_gwh") > 0)
-    bounds = running.agg(F.struct(F.min("year_month").alias("lo"), F.max("year_month").alias("hi"))).scalar()
-    in_range = F.col("year_month").between(bounds.getField("lo"), bounds.getField("hi"))
-    totals = comparison.filter(in_range).agg(
+    # a row per semester of the span, so one window sees them all; the comparison is worked out once
+    running = F.when(F.col("total_gwh") > 0, F.col("year_month"))
+    every = Window.partitionBy(F.lit(0))
+    bounded = comparison.withColumns({"_first": F.min(running).over(every), "_last": F.max(running).over(every)})
+    in_range = F.col("year_month").between(F.col("_first"), F.col("_last"))
+    totals = bounded.filter(in_range).agg(
         F.min("year_month").alias("first_month"),
         F.max("year_month").alias("last_month"),
         (F.year(F.max("year_month")) - F.year(F.min("year_month")) + 1).cast("long").alias("n_years"),

@@ -237,3 +237,44 @@ def test_unknown_country_is_an_empty_answer(fleet, limits):
     params = ImpactParams(country="Nowhere")
     assert plans.impact(fleet, limits, params, 2021.5).isEmpty()
     assert plans.entity_vs_fleet(fleet, limits, params, 2021.5).isEmpty()
+
+
+def test_a_cohort_has_five_changes_at_most(spark):
+    """Changes instead of a row per semester: installed before, at, between and after the grid's points, with every length of life."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from fleetfootprint.operators import expansion
+
+    rng = random.Random(11)
+    params = ImpactParams(span=(2000.0, 2006.0), tau=(0.0, 0.8))
+    rows = []
+    for i in range(400):
+        install = rng.choice([None, 1990.0, 1998.5, 1999.0, 1999.5, 2000.0, 2000.5, 2001.25, 2003.0, 2005.5, 2006.0, 2010.0])
+        life = rng.choice([None, -1.0, 0.0, 0.5, 1.0, 1.5, 2.0, 2.25, 7.0, 30.0])
+        rows.append((i, rng.choice("ab"), install, life, rng.choice(["Dropped", "Removed"]), *[rng.choice([None, 0.0, 100.0, 33.3]) for _ in range(2)], *[float(rng.randint(0, 3)) for _ in range(2)], rng.choice([None, 50.0, 400.5])))
+    systems = spark.createDataFrame(rows, "entity_id long, grp string, installation_year double, lifespan double, exit_reason string, cpu_tdp double, gpu_tdp double, num_cpus double, num_gpus double, intensity_a double")
+    cohorts = expansion._cohorts(systems, params, ["grp"])
+    changes = expansion._events(cohorts, params, ["grp"])
+    assert changes.count() <= 5 * cohorts.count() and changes.filter("step < 0 or step > 11").count() == 0
+    series = {(r["grp"], r["semester"]): r for r in expansion.impact_series(systems, params, ["grp"]).collect()}
+    assert len(series) == 24
+    # every system in every semester by its own formula
+    watts = expansion.with_power(systems, params).collect()
+    level = lambda age, life: 0 if age == 0 else 1 if age == 0.5 else 2 if 1 <= age < life else None
+    taus = params.tau_levels
+    power = lambda r, p, k: 0.0 if k is None else r[f"{p}_idle"] * (1 - taus[k]) + r[f"{p}_full"] * taus[k]
+    for (grp, semester), got in series.items():
+        own = [r for r in watts if r["grp"] == grp]
+        now = [level(semester - r["install"], r["life"]) for r in own]
+        was = [level(semester - 0.5 - r["install"], r["life"]) if semester > 2000 else None for r in own]
+        runs, ran = ([max(power(r, p, k) for p in ("cpu", "gpu")) > 0 for r, k in zip(own, ks)] for ks in (now, was))
+        gwh = {p: [power(r, p, k) * 24 * (365 / 12) / 1e9 * 6 for r, k in zip(own, now)] for p in ("cpu", "gpu")}
+        assert got["cpu_gwh"] == pytest.approx(sum(gwh["cpu"]), abs=1e-12) and got["gpu_gwh"] == pytest.approx(sum(gwh["gpu"]), abs=1e-12)
+        assert got["total_carbon_t"] == pytest.approx(sum((a + b) * r["intensity"] for a, b, r in zip(gwh["cpu"], gwh["gpu"], own)), abs=1e-9)
+        assert (got["active_systems"], got["systems_added"], got["systems_removed"], got["total_systems"]) == (
+            sum(runs), sum(a and not b for a, b in zip(runs, ran)), sum(b and not a for a, b in zip(runs, ran)), len(own)
+        )
+    assert expansion.impact_series(systems.filter("false"), params).count() == 0
+    assert expansion.impact_series(systems, ImpactParams(span=(2000.0, 2000.0))).count() == 0
