@@ -316,7 +316,8 @@ def q_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_gpu_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accelerators without a power value: estimated from the sheet by names that are written in several ways."""
-    _, gpus = chip_sheets(spark, sf_dir, missing="PROMO")
+    watts = (100 + F.count(F.lit(1)) % 397).cast("double").alias("gpu_tdp")
+    gpus = table(spark, sf_dir, "part").filter("p_type <> 'PROMO'").groupBy(F.col("p_type").alias("gpu_model")).agg(watts)
     name, step = F.col("accel_name"), F.col("o_orderkey") % 9
     written = (
         F.when(step == 0, name)

@@ -534,7 +534,7 @@ systems AS (
          CASE o_orderkey % 9 WHEN 0 THEN accel_name WHEN 3 THEN accel_name || ' X' || (o_orderkey % 7)
               ELSE 'MARK ' || translate(accel_name, 'AE', 'E') || ' ' || (o_orderkey % 5) END AS processor FROM listed)"""
     gpu_specs = """
-specs AS (SELECT p_type AS spec_name, max(p_size) * 10.0::DOUBLE AS tdp FROM part WHERE p_type <> 'PROMO' GROUP BY p_type)"""
+specs AS (SELECT p_type AS spec_name, CAST(100 + count(*) % 397 AS DOUBLE) AS tdp FROM part WHERE p_type <> 'PROMO' GROUP BY p_type)"""
     sql["q_gpu_fill"] = f"""{ESTIMATES.replace(SYSTEMS, f"{LISTED}, {gpu_systems}").replace(SPECS, gpu_specs).replace("FROM systems)", "FROM systems WHERE base IS NOT NULL)")}
 SELECT p_partkey AS o_orderkey, processor AS accel_name,
        CASE WHEN base = 'ECONOMY' AND p_partkey % 9 = 0 THEN 55.0::DOUBLE ELSE estimate END AS gpu_tdp
