@@ -88,56 +88,68 @@ def _cells(blocks: Blocks, unit: np.ndarray, block: int) -> tuple[np.ndarray, np
 
 
 class RangeIndex:
-    """Which points of a block are within a radius along each of its axes and of some rotations of them, as bits."""
+    """Which points of a block may be within a radius along each of its axes and of some rotations of them, as bits.
+
+    Along a direction the points are cut into slices; a row of bits holds the points of all slices that come within the radius of a
+    slice, so it has every point that is within the radius of anything in that slice.
+    """
 
     def __init__(self, points: np.ndarray, radius: float, turns: int, slices: int) -> None:
         axes, rng = points.shape[1], np.random.default_rng(7)
-        turned = [np.linalg.qr(rng.normal(size=(axes, axes)))[0] for _ in range(turns)]
-        values = np.ascontiguousarray(np.hstack([points, *[points @ t for t in turned]]).T)
+        self.turned = np.hstack([np.eye(axes), *[np.linalg.qr(rng.normal(size=(axes, axes)))[0] for _ in range(turns)]])
         self.words = (len(points) + 63) // 64
         slices = max(1, min(slices, len(points) // 16))
-        reach = radius + SLACK
-        self.rows, self.slice = [], []
-        for along in values:
-            cuts = np.quantile(along, np.arange(1, slices) / slices)
+        reach, at = radius + SLACK, np.arange(len(points))
+        bit = np.uint64(1) << (at % 64).astype(np.uint64)
+        self.cuts, self.rows, self.own = [], [], []
+        for along in self.along(points):
+            # slices of about equal numbers; where they are cut changes how much is let through, never what must be
+            some = np.sort(along[:: max(1, len(along) // 2048)])
+            cuts = some[len(some) * np.arange(1, slices) // slices]
             own = np.searchsorted(cuts, along, side="right")
-            # a slice without points is asked for by none
-            low, high = np.full(slices, np.inf), np.full(slices, -np.inf)
-            np.minimum.at(low, own, along)
-            np.maximum.at(high, own, along)
-            bits = np.zeros((slices, self.words * 8), np.uint8)
-            inside = (along >= low[:, None] - reach) & (along <= high[:, None] + reach)
-            packed = np.packbits(inside, axis=1, bitorder="little")
-            bits[:, : packed.shape[1]] = packed
-            self.rows.append(bits.view(np.uint64))
-            self.slice.append(own)
-
-    def candidates(self, queries: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, other) that every direction lets through; ``among`` are the bits of the others that count."""
-        bits = self.rows[0][self.slice[0][queries]] & among
-        for rows, own in zip(self.rows[1:], self.slice[1:]):
-            bits &= rows[own[queries]]
-        query, word = np.nonzero(bits)
-        found = np.unpackbits(bits[query, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at, bit = np.nonzero(found)
-        return queries[query[at]], word[at] * 64 + bit
+            each = np.zeros((slices, self.words), np.uint64)
+            np.add.at(each.reshape(-1), own * self.words + at // 64, bit)
+            first = np.searchsorted(cuts, np.r_[-np.inf, cuts] - reach, side="left")
+            last = np.searchsorted(cuts, np.r_[cuts, np.inf] + reach, side="right")
+            self.rows.append(np.stack([np.bitwise_or.reduce(each[i : j + 1], axis=0) for i, j in zip(first, last)]))
+            self.cuts.append(cuts)
+            self.own.append(own)
+
+    def along(self, points: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray((points @ self.turned).T)
+
+    def slices_of(self, points: np.ndarray) -> list[np.ndarray]:
+        """The slice of each point along each direction."""
+        return [np.searchsorted(cuts, along, side="right") for cuts, along in zip(self.cuts, self.along(points))]
+
+    def candidates(self, slices: list[np.ndarray], from_word: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place in ``slices``, point) that every direction lets through, of the points from 64 * ``from_word`` on."""
+        bits = self.rows[0][slices[0], from_word:]
+        other = np.empty((len(bits), self.words), np.uint64)
+        for rows, own in zip(self.rows[1:], slices[1:]):
+            # whole rows are taken faster than parts of rows
+            np.take(rows, own, axis=0, out=other, mode="clip")
+            np.bitwise_and(bits, other[:, from_word:], out=bits)
+        flat = bits.reshape(-1)
+        some = np.flatnonzero(flat)
+        found = np.flatnonzero(np.unpackbits(flat[some].view(np.uint8), bitorder="little"))
+        query, word = np.divmod(some, bits.shape[1])
+        return query[found >> 6], ((word[found >> 6] + from_word) << 6) + (found & 63)
 
 
 def block_pairs(points: np.ndarray, radius: float, left: np.ndarray, right: np.ndarray):
     """Candidate pairs (i, j) of rows of ``points`` in pieces: i of ``left`` and j of ``right``, or i < j where both are the same."""
-    index = RangeIndex(points, radius, TURNS, SLICES)
-    same = left is right
-    chosen = np.zeros(index.words * 64, bool)
-    chosen[right] = True
+    if not len(left) or not len(right):
+        return
+    index, same = RangeIndex(points[right], radius, TURNS, SLICES), left is right
+    slices = index.own if same else index.slices_of(points[left])
     for at in range(0, len(left), QUERIES):
-        queries = left[at : at + QUERIES]
-        if same:
-            chosen[: queries[0]] = False
-        i, j = index.candidates(queries, np.packbits(chosen, bitorder="little").view(np.uint64))
+        i, j = index.candidates([own[at : at + QUERIES] for own in slices], at // 64 if same else 0)
+        i = i + at
         if same:
             i, j = i[i < j], j[i < j]
         for part in range(0, len(i), PAIRS_AT_ONCE):
-            yield i[part : part + PAIRS_AT_ONCE], j[part : part + PAIRS_AT_ONCE]
+            yield left[i[part : part + PAIRS_AT_ONCE]], right[j[part : part + PAIRS_AT_ONCE]]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
