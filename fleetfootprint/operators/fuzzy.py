@@ -63,28 +63,17 @@ def _index_rows(text: str, frequency: dict[tuple[int, int], int]) -> list[tuple]
     return rows
 
 
-def _spec_index(specs: DataFrame) -> DataFrame:
-    """The specs' index rows, with keys in an order of their own."""
+def _spec_index(specs: DataFrame, frequency: dict[tuple[int, int], int]) -> DataFrame:
+    """The specs' index rows, with their keys in the order of ``frequency``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [row for text in frame["spec_name"] for row in _index_rows(text, {})]
+            rows = [row for text in frame["spec_name"] for row in _index_rows(text, frequency)]
             yield pd.DataFrame(rows, columns=["text", "kind", "size", "keys", "rests"])
 
     return specs.mapInPandas(run, KEYS)
 
 
-def _ordered(index: DataFrame, frequency: dict[tuple[int, int], int]) -> DataFrame:
-    """Index rows with their keys in the order of ``frequency``."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [row for text in frame["text"].drop_duplicates() for row in _index_rows(text, frequency)]
-            yield pd.DataFrame(rows, columns=["text", "kind", "size", "keys", "rests"])
-
-    return index.select("text").distinct().mapInPandas(run, KEYS)
-
-
 def candidate_pairs(names: DataFrame, specs: DataFrame, hit: float = FUZZY_HIT, relative: float = FUZZY_RELATIVE) -> DataFrame:
     """name, spec_name and ``cut``: every pair that can reach the name's cut-off, and the cut-off known so far.
 
@@ -101,13 +90,12 @@ def candidate_pairs(names: DataFrame, specs: DataFrame, hit: float = FUZZY_HIT,
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     names = names.select("name").filter(F.col("name").isNotNull()).repartition(tasks, "name").distinct()
     specs = specs.select("spec_name").filter(F.col("spec_name").isNotNull()).distinct()
-    plain = settle(_spec_index(specs), "spec-keys")
-    per_key = plain.select("text", "kind", F.explode("keys").alias("key")).groupBy("kind", "key")
+    per_key = _spec_index(specs, {}).select("text", "kind", F.explode("keys").alias("key")).groupBy("kind", "key")
     known = per_key.agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("first"), F.max("text").alias("last"))
     top = known.orderBy(F.desc("n"), "kind", "key").limit(KNOWN_KEYS).collect()
     frequency = {(r["kind"], r["key"]): r["n"] for r in top}
     probes = {(r["kind"], r["key"]): (r["first"], r["last"]) for r in top}
-    index = settle(_ordered(plain, frequency), "spec-index")
+    index = settle(_spec_index(specs, frequency), "spec-index")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
