@@ -169,19 +169,35 @@ def _events(cohorts: DataFrame, params: ImpactParams, by: list[str]) -> DataFram
     return cohorts.select(*by, F.inline(F.filter(F.array(*events), lambda x: x.isNotNull())))
 
 
+# Columns of a table of changes, besides its groups and ``step``; changes of any systems may be added up.
+CHANGES = (*_MOMENT, *(f"steady_{c}" for c in _MOMENT), *_COUNTS)
+
+
+def impact_changes(entities: DataFrame, params: ImpactParams, by: list[str] | None = None) -> DataFrame:
+    """What changes per step of the grid (and per ``by`` columns): ``by``, ``step`` and the sums ``CHANGES``."""
+    by = by or []
+    return sum_changes(_events(_cohorts(entities, params, by), params, by), by)
+
+
+def sum_changes(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return changes.groupBy(*(by or []), "step").agg(*[F.sum(c).alias(c) for c in CHANGES])
+
+
 def impact_series(entities: DataFrame, params: ImpactParams, by: list[str] | None = None) -> DataFrame:
     """Energy, carbon and turnover per semester (and per ``by`` columns) over the whole span.
 
     ``total_systems`` counts every system in every semester, running or not. Cohorts give their changes, which are added up
     per step and then along the grid, so the grid multiplies groups and never cohorts or systems.
     """
+    return series_of_changes(impact_changes(entities, params, by), params, by)
+
+
+def series_of_changes(per_step: DataFrame, params: ImpactParams, by: list[str] | None = None) -> DataFrame:
+    """The series that changes (one row per ``by`` and step) add up to; no rows for groups without systems."""
     by = by or []
     size = grid_size(params.span)
-    names = [*_MOMENT, *(f"steady_{c}" for c in _MOMENT), *_COUNTS]
-    changes = _events(_cohorts(entities, params, by), params, by)
-    per_step = changes.groupBy(*by, "step").agg(*[F.sum(c).alias(c) for c in names])
     groups = per_step.groupBy(*by).agg(
-        F.sum("systems").alias("total_systems"), F.map_from_entries(F.collect_list(F.struct("step", F.struct(*names)))).alias("_steps")
+        F.sum("systems").alias("total_systems"), F.map_from_entries(F.collect_list(F.struct("step", F.struct(*CHANGES)))).alias("_steps")
     )
     grid = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")) if size else F.array().cast("array<long>")
     rows = groups.filter(F.col("total_systems").isNotNull()).withColumn("_step", F.explode(grid))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,7 @@ from fleetfootprint.operators.specs import (
 )
 from fleetfootprint.operators.stats import growth_curves, remove_outliers, sample_rows
 from fleetfootprint.plans import fleet as fleet_plans
+from fleetfootprint.plans import cube as cubes
 from fleetfootprint.plans import impact as plans
 from fleetfootprint.plans.fleet import minimal_view
 from fleetfootprint.schemas import EFFICIENCY_LISTING, PERFORMANCE_LISTING, Era, ImpactParams
@@ -924,6 +926,41 @@ def q_unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.comparison_long(rounded_impact(_comparison(spark, sf_dir)))
 
 
+# Slices answered from one cube, by label.
+CUBE_SLICES = {
+    "all": BASE,
+    "country": replace(BASE, country=COUNTRY),
+    "filled": replace(BASE, segments=("MACHINERY",), listing="F"),
+    "mixed": COUNTRY_SLICE,
+    "mixed open": replace(BASE, segments=("BUILDING", "MACHINERY"), listing="O"),
+}
+
+
+def _cube(spark: SparkSession, sf_dir: str) -> cubes.ImpactCube:
+    """The cube of a fleet in which one order in five stands under another segment, so systems cross segments and listings."""
+    moved = F.when(F.col("o_orderkey") % 5 == 0, F.lit("MACHINERY")).otherwise(F.col("segment"))
+    rows = fleet(spark, sf_dir).withColumn("segment", moved)
+    return cubes.build_cube(rows, thresholds(spark, sf_dir), BASE, MAX_EDITION)
+
+
+def q_impact_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = _cube(spark, sf_dir)
+    answers = [cubes.cube_impact(cube, params).withColumn("slice", F.lit(name)) for name, params in CUBE_SLICES.items()]
+    return rounded_impact(union_all(answers))
+
+
+def q_impact_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison of every region's first nation in alphabetical order, as calls of a SQL table function."""
+    cubes.register_functions(_cube(spark, sf_dir), "catalog")
+    table(spark, sf_dir, "nation").createOrReplaceTempView("catalog_nation")
+    return rounded_impact(
+        spark.sql(
+            "SELECT n.name, c.* FROM (SELECT min(n_name) AS name FROM catalog_nation GROUP BY n_regionkey) n, "
+            "LATERAL catalog_comparison(country => n.name, segment => 'MACHINERY') c"
+        )
+    )
+
+
 # ---- statistics ----------------------------------------------------------------------------------
 
 

@@ -565,6 +565,33 @@ carbon AS (
 SELECT s.semester, year_month, {_rounded(_ENERGY)}, {", ".join(f"round(c.{x}, 4) AS {x}" for x in _CARBON)}, {_TURNOVER}
 FROM all_series s JOIN carbon c USING (semester)"""
 
+    # one order in five under another segment
+    moved = f"""{BASE.replace("fleet AS (", "home AS (", 1)},
+fleet AS (SELECT * REPLACE (CASE WHEN o_orderkey % 5 = 0 THEN 'MACHINERY' ELSE segment END AS segment) FROM home)"""
+    slices = {
+        "all": "TRUE",
+        "country": IN_COUNTRY,
+        "filled": "segment = 'MACHINERY' AND listing = 'F'",
+        "mixed": f"{IN_COUNTRY} AND {IN_SEGMENTS}",
+        "mixed open": "segment IN ('BUILDING', 'MACHINERY') AND listing = 'O'",
+    }
+    ctes = ", ".join(series(f"s{i}", where) for i, where in enumerate(slices.values()))
+    answers = " UNION ALL ".join(
+        f"SELECT '{name}' AS slice, semester, year_month, {_rounded(both)}, {_TURNOVER} FROM s{i}_series" for i, name in enumerate(slices)
+    )
+    sql["q_impact_cube"] = f"{moved}, {ctes} {answers}"
+
+    of_region = "country = (SELECT min(n_name) FROM nation WHERE n_regionkey = {r}) AND segment = 'MACHINERY'"
+    ctes = ", ".join(series(f"r{r}", of_region.format(r=r)) for r in range(5))
+    answers = " UNION ALL ".join(
+        f"SELECT (SELECT min(n_name) FROM nation WHERE n_regionkey = {r}) AS name, o.*, "
+        f"{', '.join(f'w.{c} / {_N_COUNTRIES} AS fleet_{c}' for c in both)} FROM r{r}_series o JOIN world_series w USING (semester)"
+        for r in range(5)
+    )
+    world = series("world", "segment = 'MACHINERY'")
+    sql["q_impact_sql"] = f"""{moved}, {ctes}, {world}, calls AS ({answers})
+SELECT name, semester, year_month, {_rounded(both)}, {_TURNOVER}, {_rounded([f"fleet_{c}" for c in both])} FROM calls"""
+
     sql["q_churn"] = f"""{BASE}, {series("all")}
 SELECT semester, systems_added, systems_removed, active_systems FROM all_series"""
 

@@ -85,7 +85,9 @@ def sliced(fleet: DataFrame, params: ImpactParams) -> DataFrame:
     inside = fleet.filter(slice_condition(params))
     if "final_edition" in fleet.columns:
         return inside
-    return fleet.join(inside.select("entity_id").distinct(), "entity_id", "left_semi")
+    # rows without an id are one system, as in the aggregate
+    systems = inside.select(F.col("entity_id").alias("_inside")).distinct()
+    return fleet.join(systems, F.col("entity_id").eqNullSafe(F.col("_inside")), "left_semi")
 
 
 def entities(fleet: DataFrame, thresholds: DataFrame, params: ImpactParams, max_edition: float = MAX_EDITION) -> DataFrame:
