@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetfootprint.operators.skew import hot_keys, order_cuts, piece_of
+from fleetfootprint.operators.skew import hot_keys
 from fleetfootprint.session import settle
 
 
@@ -30,23 +30,35 @@ def group_fill(
 ) -> DataFrame:
     """Forward, then backward fill of ``columns`` within each key.
 
-    Rows without an order come first, and rows without a key are a group. A hot key is cut into consecutive pieces that
-    are filled on their own; what a piece cannot answer comes from the nearest earlier (else later) piece through a
-    summary of one row per key and piece.
+    Rows without an order come first, and rows without a key are a group. Where a key is hot (``hot``, by default
+    ``hot_keys``) the table is filled by ``scan_fill``, else each key in one task.
     """
     hot = hot_keys(df, key) if hot is None else hot
     if hot.isEmpty():
-        return _fill_pieces(df, [key], order, columns)
+        return _fill_pieces(df, [key], [order], columns)
+    return scan_fill(df, key, order, columns)
 
-    cuts = order_cuts(df, key, order, hot).withColumnRenamed(key, "_cut_key")
-    pieces = (
-        df.join(cuts, F.col(key).eqNullSafe(F.col("_cut_key")), "left")
-        .drop("_cut_key")
-        .withColumn("_piece", piece_of(F.col("_cuts"), F.col(order)))
-    )
-    place = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("at"))
+
+def scan_fill(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """``group_fill`` as a scan: the same work for every key, however its rows are spread.
+
+    The table is cut by range over key and order, so a key has as many pieces as its rows need. Only the first and the last key of a
+    piece can go on in another one; these keys, fewer than there are pieces, have a summary row per piece, from which a piece takes
+    what it cannot answer itself: the last value of an earlier piece, else the first one of a later. Rows that tie in the order are told apart by
+    a hash of the row, so reruns agree and a large tie is cut as well.
+    """
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    cut = df.withColumn("_tie", F.xxhash64(*hashed)).repartitionByRange(key, order, "_tie")
+    cut = settle(cut.withColumn("_piece", F.spark_partition_id()), "pieces")
+
+    ends = cut.groupBy("_piece").agg(F.min(F.struct(key)).alias("_low"), F.max(F.struct(key)).alias("_high"))
+    ends = ends.select("_piece", F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_end"))
+    goes_on = ends.groupBy(F.col("_end")[key].alias("_open_key")).agg(F.count(F.lit(1)).alias("_pieces")).filter("_pieces > 1")
+    goes_on = settle(goes_on.select("_open_key"), "open-keys")
+
+    place = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("at"), F.col("_tie").alias("tie"))
     summary = (
-        pieces.filter(F.col("_cuts").isNotNull())
+        cut.join(goes_on, F.col(key).eqNullSafe(F.col("_open_key")), "left_semi")
         .groupBy(key, "_piece")
         .agg(
             *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_last_{c}") for c in columns],
@@ -67,14 +79,14 @@ def group_fill(
         "carried",
     )
     same = F.col(key).eqNullSafe(F.col("_carried_key")) & (F.col("_piece") == F.col("_carried_piece"))
-    with_carried = pieces.drop("_cuts").join(carried, same, "left")
-    return _fill_pieces(with_carried, [key, "_piece"], order, columns, carry=True).select(*df.columns)
+    with_carried = cut.join(carried, same, "left")
+    return _fill_pieces(with_carried, [key, "_piece"], [order, "_tie"], columns, carry=True).select(*df.columns)
 
 
-def _fill_pieces(df: DataFrame, group: list[str], order: str, columns: list[str], carry: bool = False) -> DataFrame:
+def _fill_pieces(df: DataFrame, group: list[str], order: list[str], columns: list[str], carry: bool = False) -> DataFrame:
     # A row with nothing known before it takes the first known value of the whole group, so both frames
     # cost one step per row; a frame from the current row to the end would cost one pass per row.
-    ordered = Window.partitionBy(*group).orderBy(order)
+    ordered = Window.partitionBy(*group).orderBy(*order)
     back = ordered.rowsBetween(Window.unboundedPreceding, 0)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     filled = {}

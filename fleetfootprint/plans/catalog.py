@@ -31,7 +31,7 @@ from fleetfootprint.functions.power import (
 )
 from fleetfootprint.functions.text import entity_key, normal_country, null_if, unknown_if_missing
 from fleetfootprint.operators.expansion import churn, expand_semesters
-from fleetfootprint.operators.fill import first_non_null, group_fill
+from fleetfootprint.operators.fill import first_non_null, group_fill, scan_fill
 from fleetfootprint.operators.fuzzy import best_match, estimate_sources, fuzzy_candidates, weighted_estimates
 from fleetfootprint.operators.intensity import compare_providers, with_intensity, yearly_means
 from fleetfootprint.operators.lifecycle import (
@@ -680,9 +680,8 @@ def q_group_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_group_fill_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``q_group_fill`` with every user of ten events or more cut into pieces."""
-    rows = _gappy_events(spark, sf_dir)
-    return group_fill(rows, "user_id", "event_id", ["reading", "processor"], hot_keys(rows, "user_id", min_rows=9, piece_rows=4))
+    """``q_group_fill`` as a scan over pieces of the whole table, which is the way of a table with a hot key."""
+    return scan_fill(_gappy_events(spark, sf_dir), "user_id", "event_id", ["reading", "processor"])
 
 
 def q_minimal_view(spark: SparkSession, sf_dir: str) -> DataFrame:

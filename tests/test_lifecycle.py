@@ -102,6 +102,35 @@ def test_group_fill(spark, min_rows, parts):
     assert got == expected_fill(data)
 
 
+@pytest.mark.parametrize("pieces", [1, 3, 40])
+def test_scan_fill_by_brute_force(spark, pieces):
+    """Keys that end with a piece, span several, and columns that are known only far away."""
+    rng = random.Random(pieces)
+    data = gappy(600, 7, seed=pieces)
+    # a key of 300 rows whose only values are its 1st (x) and its last (y): every piece but one takes them from afar
+    data += [(1000 + i, 50, 1.5 if i == 0 else None, "end" if i == 299 else None) for i in range(300)]
+    data += [(2000 + i, None, None, rng.choice([None, "n"])) for i in range(60)]
+    df = spark.createDataFrame(data, "seq long, id int, x double, y string").repartition(5, "y")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", pieces)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = fill.scan_fill(df, "id", "seq", ["x", "y"])
+        assert got.columns == df.columns
+        assert {r["seq"]: (r["x"], r["y"]) for r in got.collect()} == expected_fill(data)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_scan_fill_of_empty_tables_and_ties(spark):
+    schema = "seq long, id string, x double, tags map<string, int>"
+    assert fill.scan_fill(spark.createDataFrame([], schema), "id", "seq", ["x"]).isEmpty()
+    rows = [(None, "a", None, {"k": i}) for i in range(50)] + [(1, "a", 3.0, None)] * 2 + [(2, "a", None, None), (1, "b", None, None)]
+    got = fill.scan_fill(spark.createDataFrame(rows, schema).repartition(3), "id", "seq", ["x"]).collect()
+    assert len(got) == 54 and {(r["id"], r["x"]) for r in got} == {("a", 3.0), ("b", None)}
+
+
 def test_fill_of_all_null_and_lonely_rows(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", None), (1, "b", 5.0)], "seq int, id string, x double")
     got = {(r["id"], r["seq"]): r["x"] for r in group_fill(df, "id", "seq", ["x"]).collect()}
