@@ -54,7 +54,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return pages.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

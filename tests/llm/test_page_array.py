@@ -1,0 +1,95 @@
+"""Every page goes through the suffix array of its host, marked or not; the markup checks the verdict."""
+
+import random
+
+import numpy as np
+import pytest
+
+from fleetfootprint.llm import pages
+
+MENU = "Home News About Contact Imprint Shop"
+QUOTE = "a sentence that many articles quote word by word"
+
+
+def extract(spark, rows, **options):
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r for r in pages.extract(frame, **options).collect()}
+
+
+@pytest.mark.parametrize("group_pages", [200, 3])
+def test_marked_pages_go_through_the_array(spark, group_pages):
+    """A menu is found by its repetition, a quoted sentence is put back, a comment that stands once goes by its element."""
+    rows = [
+        (i, f"http://a/{i}", f'<nav>{MENU}</nav><article><p>Story w{i} x{i}</p><p>{QUOTE}</p></article><div class="comments">reader{i} writes</div>')
+        for i in range(12)
+    ]
+    # too few pages, and copies of one page
+    rows += [(100 + i, f"http://few/{i}", f"<nav>{MENU}</nav><article>{QUOTE} on {i}</article>") for i in range(pages.MIN_PAGES - 1)]
+    rows += [(200 + i, f"http://same/{i}", f"<nav>{MENU}</nav><article>{QUOTE}</article>") for i in range(12)]
+    got = extract(spark, rows, group_pages=group_pages)
+    n_menu, n_quote = len(MENU.split()), len(QUOTE.split())
+    for i in range(12):
+        assert tuple(got[i])[2:] == (f"Story w{i} x{i}\n{QUOTE}", n_menu + n_quote, n_quote)
+        assert tuple(got[200 + i])[2:] == (QUOTE, 0, 0)
+    assert all(tuple(got[100 + i])[2:] == (f"{QUOTE} on {i}", 0, 0) for i in range(pages.MIN_PAGES - 1))
+
+
+@pytest.mark.parametrize("group_pages", [200, 3])
+def test_a_menu_without_a_mark_beside_marked_articles(spark, group_pages):
+    """All pages have the same words outside of their articles; they are different pages all the same."""
+    rows = [(i, f"http://a/{i}", f"<div>{MENU}</div><article>Story w{i} x{i}</article><div>{QUOTE}</div>") for i in range(12)]
+    got = extract(spark, rows, group_pages=group_pages)
+    assert [got[i].text for i in range(12)] == [f"Story w{i} x{i}" for i in range(12)]
+
+
+def verdict(sites):
+    """Per page of (host, blocks): words in repeated runs and those of them in articles, by tuples."""
+    streams = [{a: tuple(w for k, t in blocks if (k == "a") == a for w in t.split()) for a in (False, True)} for _, blocks in sites]
+    where = {}
+    for (host, blocks), found in zip(sites, streams):
+        for a, s in found.items():
+            for i in range(len(s) - pages.MIN_RUN + 1):
+                where.setdefault((host, a, s[i : i + pages.MIN_RUN]), set()).add(" ".join(text for _, text in blocks))
+    out = []
+    for (host, blocks), found in zip(sites, streams):
+        n = {}
+        for a, s in found.items():
+            gone = np.zeros(len(s), bool)
+            for i in range(len(s) - pages.MIN_RUN + 1):
+                if len(where[host, a, s[i : i + pages.MIN_RUN]]) >= pages.MIN_PAGES:
+                    gone[i : i + pages.MIN_RUN] = True
+            at = n[a] = 0
+            for kind, text in blocks:
+                if (kind == "a") == a:
+                    size = len(text.split())
+                    n[a] += int(pages.cut(gone[at : at + size], pages.MIN_RUN).sum())
+                    at += size
+        out.append((n[False] + n[True], n[True]))
+    return out
+
+
+@pytest.mark.parametrize("group_pages", [200, 5, 1])
+def test_verdict_by_brute_force(spark, group_pages):
+    rng = random.Random(group_pages)
+    shared = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 14))) for _ in range(8)]
+    tags = {"a": ("<article>", "</article>"), "o": ("<div>", "</div>"), "b": ("<nav>", "</nav>")}
+    sites = []
+    for _ in range(80):
+        blocks = [
+            (rng.choice("aaob"), rng.choice(shared) if rng.random() < 0.5 else " ".join(f"u{rng.randrange(40)}" for _ in range(rng.randint(1, 9))))
+            for _ in range(rng.randint(0, 7))
+        ]
+        sites.append((rng.choice(["one", "two", "two"]), blocks))
+    sites += [("two", sites[0][1])] * 9
+    rows = [(i, f"http://{host}/{i}", "".join(tags[k][0] + t + tags[k][1] for k, t in blocks)) for i, (host, blocks) in enumerate(sites)]
+    got = extract(spark, rows, group_pages=group_pages)
+    want = verdict(sites)
+    assert [(got[i].n_repeated, got[i].n_restored) for i in range(len(sites))] == want
+    assert sum(n for n, _ in want) > 200 and sum(a for _, a in want) > 50
+
+
+def test_places_are_packed_and_read_back():
+    rng = np.random.default_rng(5)
+    for size in (1, 7, 3000):
+        places = np.sort(rng.integers(0, 2**40, size).astype(np.uint64))
+        assert (pages.unpacked(pages.packed(places)) == places).all()
