@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -100,3 +101,73 @@ def test_query(spark, docs, texts, tmp_path, library):
         digests = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
         expected.append(str((doc_id, len(ids), *digests)))
     assert got == sorted(expected)
+
+
+def random_texts(model, n):
+    rng = random.Random(5)
+    letters = ["ab ", " aeiou\n", "the in ing  ", "é𝄞▁ xy", "0123456789. ", "aAbB<>s/ ", "\x00﻿　 漢 字"]
+    pieces = [p for p in model.pieces if len(p) > 1]
+    for _ in range(n):
+        kind = rng.choice(letters)
+        yield "".join(rng.choice(kind) for _ in range(rng.randint(0, 150)))
+        yield "".join(rng.choice(pieces) for _ in range(rng.randint(1, 30)))
+
+
+@pytest.mark.parametrize("begin, end", [(True, True), (True, False), (False, True), (False, False)])
+def test_all_at_once(model, library, begin, end):
+    texts = [*CASES, *random_texts(model, 2000), *CASES, ""]
+    expected = [library.encode(text, add_bos=begin, add_eos=end) for text in texts]
+    column = pa.array(["cut off", *texts, "cut off"]).slice(1, len(texts))
+    packed = model.encode_all(column, begin, end)
+    packed.validate(full=True)
+    assert [np.frombuffer(one, "<u4").tolist() for one in packed.to_pylist()] == expected
+    decoded = model.decode_all(packed)
+    decoded.validate(full=True)
+    assert decoded.to_pylist() == [library.decode(ids) for ids in expected]
+    for few in ([], [""], ["", ""], [" "], ["w" * 99], ["a"]):
+        packed = model.encode_all(pa.array(few, pa.string()), begin, end)
+        assert packed.to_pylist() == [model.encode(text, begin, end) for text in few]
+        assert model.decode_all(packed).to_pylist() == [model.decode(one) for one in packed.to_pylist()]
+
+
+def test_random_ids_at_once(model, library):
+    rng = random.Random(6)
+    lists = [[rng.choice([rng.randrange(32000), rng.randrange(3, 259), 259, 28705, 1, 2, 0]) for _ in range(rng.randint(0, 12))] for _ in range(3000)]
+    column = pa.array([b"....", *(np.array(ids, "<u4").tobytes() for ids in lists)], pa.binary()).slice(1)
+    assert model.decode_all(column).to_pylist() == [library.decode(ids) for ids in lists]
+    for wrong in (np.array([1, 32000], "<u4").tobytes(), b"abc"):
+        with pytest.raises(ValueError):
+            model.decode_all(pa.array([b"", wrong], pa.binary()))
+
+
+def test_all_at_once_with_emptied_memories_and_whole_texts(model, monkeypatch, library):
+    monkeypatch.setattr(sentencepieces, "PAIRS_KEPT", 2)
+    monkeypatch.setattr(sentencepieces, "SIDE_BY_SIDE", 3)
+    texts = CASES + ["one two three four five six seven", "a b c d e f g " * 50]
+    expected = [library.encode(text, add_bos=True, add_eos=True) for text in texts]
+    for splits in (True, True, False):
+        monkeypatch.setattr(model, "splits", splits)
+        assert [np.frombuffer(one, "<u4").tolist() for one in model.encode_all(pa.array(texts)).to_pylist()] == expected
+
+
+def test_varied_words_are_not_searched_one_by_one(model, monkeypatch, library):
+    """The time went into searching every word that the memory didn't have by itself; now only long words take that way."""
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abdeghinorst") for _ in range(rng.randint(4, 12))) for _ in range(300)) for _ in range(20)]
+    texts += ["long " + "word" * 30, "", "two  spaces  "]
+
+    class Local:
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+            return [row for out in run(iter([batch, batch.slice(0, 0)])) for row in out.to_pylist()]
+
+    searched, split = [], model.split
+    monkeypatch.setattr(model, "split", lambda word: searched.append(word) or split(word))
+    monkeypatch.setattr(model, "words", {})
+    monkeypatch.setattr(sentencepieces, "_texts", lambda *_: Local())
+    monkeypatch.setattr(sentencepieces, "IN_BYTES", 20_000, raising=False)
+    got = sentencepieces.round_trip(None)
+    expected = [library.encode(text, add_bos=True, add_eos=True) for text in texts]
+    assert [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got] == [*enumerate(expected)]
+    assert [r["decoded"] for r in got] == [library.decode(ids) for ids in expected]
+    assert len(searched) < 10
